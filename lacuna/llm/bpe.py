@@ -3,12 +3,15 @@
 1. Texts are cut into pre-tokens by the pattern. Within a block (the documents that one task reads, up to
    ``BLOCK_BYTES`` of text) every distinct pre-token gets a number, and each document becomes the sequence of the
    numbers of its pre-tokens: its exploded positions, packed.
-2. The blocks' distinct words are dealt by hash, so that each distinct word of the whole corpus meets in one task,
-   is encoded there once, and its ids go back to the blocks that asked. Words travel in packed chunks per block and
-   bucket; what a bucket holds does not depend on how often a word occurs, so frequent words are no hot keys.
+2. The blocks' distinct words are dealt into buckets by hash, so that each distinct word of the whole corpus meets in
+   one task, is encoded there once, and its ids go back to the blocks that asked. Words travel in packed chunks per
+   block and bucket; a chunk does not depend on how often a word occurs, so frequent words are no hot keys.
 3. Per block, ids are put back at the positions of the documents. Decoding joins the ids with the token-byte table,
    a fixed table of the vocabulary.
 
+Words are numbered by how often they occur in the block (in powers of two), then by bucket, then by their bytes. So
+frequent words have small numbers, which pack well, and a chunk need not carry the numbers of its words.
+
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows each give a row; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -16,6 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import uuid
 import zlib
 
@@ -23,15 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lacuna.llm.common import written
+from lacuna.llm.common import fresh_path
 
 #: Bytes of text in a block; a block's distinct words fit in a worker's memory.
 BLOCK_BYTES = 32 << 20
-#: Buckets that words are dealt into by hash. At most so many chunks come from a block.
-BUCKETS = 1024
+#: Pre-tokens of the documents in one row, about.
+PACK = 250_000
+#: Bounds of the number of buckets; between them it is four for each shuffle partition.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
+#: Classes of words by frequency: 2^0, 2^1, ... occurrences in the block.
+CLASSES = 32
 
-_made: dict[str, object] = {}
+_made: dict[object, object] = {}
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -45,17 +54,16 @@ def ranks_of(path: str) -> dict[bytes, int]:
 def _encoding(path: str, pattern: str):
     import tiktoken
 
-    if ("enc", path) not in _made:
-        _made["enc", path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
-    return _made["enc", path]
+    if ("encoding", path) not in _made:
+        _made["encoding", path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
+    return _made["encoding", path]
 
 
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: all bytes, and the start and length of each id's."""
     if ("table", path) not in _made:
         ranks = ranks_of(path)
-        n = max(ranks.values()) + 1
-        by = [b""] * n
+        by = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             by[i] = t
         size = np.array([len(t) for t in by], dtype=np.int64)
@@ -77,203 +85,213 @@ def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return data[_spread(start[ids], size[ids])].tobytes()
 
 
-def _squeeze(raw: bytes) -> bytes:
-    """Compressed, with its length in front."""
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+class _Out:
+    """Numbers and bytes one after the other, compressed as a whole."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def numbers(self, x: np.ndarray) -> _Out:
+        """All lowest bytes first, then all next ones, as far as any number has them: packs well."""
+        x = np.ascontiguousarray(x, dtype="<u4")
+        width = (int(x.max(initial=0)).bit_length() + 7) // 8
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
+        self.parts += [len(x).to_bytes(4, "little"), bytes([width]), planes[:width].tobytes()]
+        return self
+
+    def raw(self, data: bytes) -> _Out:
+        self.parts += [len(data).to_bytes(4, "little"), data]
+        return self
+
+    def pack(self) -> bytes:
+        data = b"".join(self.parts)
+        return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _widen(raw: bytes) -> bytes:
-    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+class _In:
+    """What ``_Out`` has packed, in the same order."""
 
+    def __init__(self, data: bytes):
+        self.data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+        self.at = 0
 
-def _bucket(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
+    def numbers(self) -> np.ndarray:
+        n, width = int.from_bytes(self.data[self.at : self.at + 4], "little"), self.data[self.at + 4]
+        planes = np.zeros((4, n), np.uint8)
+        planes[:width] = np.frombuffer(self.data, np.uint8, n * width, self.at + 5).reshape(width, n)
+        self.at += 5 + n * width
+        return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+    def raw(self) -> bytes:
+        n = int.from_bytes(self.data[self.at : self.at + 4], "little")
+        self.at += 4 + n
+        return self.data[self.at - n : self.at]
 
 
 class _Block:
     """The documents of a block, and its distinct words numbered by appearance."""
 
     def __init__(self):
-        self.key, self.number, self.docs, self.bytes = uuid.uuid4().hex, {}, [], 0
+        self.key, self.number, self.ids, self.docs, self.bytes = uuid.uuid4().hex, {}, [], [], 0
 
-    def add(self, i: int, pieces: list[str], size: int) -> None:
+    def add(self, key, pieces: list[str], size: int) -> None:
         number = self.number
-        get = number.get
-        at = []
-        for w in pieces:
-            k = get(w)
-            if k is None:
-                k = number[w] = len(number)
-            at.append(k)
-        self.docs.append((i, np.array(at, dtype=np.uint32)))
+        found = list(map(number.get, pieces))
+        if None in found:
+            for w in pieces:
+                if w not in number:
+                    number[w] = len(number)
+            found = list(map(number.__getitem__, pieces))
+        self.ids.append(key)
+        self.docs.append(np.array(found, dtype=np.uint32))
         self.bytes += size
 
-
-_PARTS = "block string, kind int, bucket int, seq bigint, id {id}, data binary"
-
-
-def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int) -> DataFrame:
-    """Of each block: a row per document (kind 1, its positions) and a row per bucket of its words (kind 0)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    def packed(self, buckets: int):
+        """Rows (kind, bucket, seq, ids, data): the documents (kind 1), and the words of each bucket (kind 0)."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.number]
+        count = np.bincount(np.concatenate(self.docs), minlength=len(words)) if words else np.zeros(0, np.int64)
+        rare = CLASSES - 1 - np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), CLASSES - 1)
+        bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+        by_bytes = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
+        order = by_bytes[np.lexsort((bucket[by_bytes], rare[by_bytes]))]
+        renumbered = np.empty(len(words), np.uint32)
+        renumbered[order] = np.arange(len(words), dtype=np.uint32)
+        first, n = 0, 0
+        for i, d in enumerate(self.docs):
+            n += len(d)
+            if n >= PACK or i + 1 == len(self.docs):
+                some = self.docs[first : i + 1]
+                data = _Out().numbers(np.array([len(x) for x in some])).numbers(renumbered[np.concatenate(some)]).pack()
+                yield 1, 0, first, self.ids[first : i + 1], data
+                first, n = i + 1, 0
+        mine = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then class, then bytes
+        cuts = np.searchsorted(bucket[mine], np.arange(buckets + 1))
+        for k in range(buckets):
+            if cuts[k] < cuts[k + 1]:
+                some = mine[cuts[k] : cuts[k + 1]]
+                text = [words[i] for i in some]
+                yield 0, k, 0, None, _Out().numbers(np.bincount(rare[some], minlength=CLASSES)).numbers(np.fromiter(map(len, text), np.uint32, len(text))).raw(b"".join(text)).pack()
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """Rows (block, kind, bucket, seq, ids, data) of all blocks."""
+    names = ["block", "kind", "bucket", "seq", "ids", "data"]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        block, seq, id_type = _Block(), 0, None
 
-        def rows(block, ids):
-            # Numbers by appearance: frequent words come early, so most numbers are small.
-            yield pa.RecordBatch.from_arrays([pa.array([block.key] * len(block.docs)), pa.array(np.ones(len(block.docs), np.int32)), pa.array(np.zeros(len(block.docs), np.int32)), pa.array([i for i, _ in block.docs], pa.int64()), pa.array(ids, id_type), pa.array([_squeeze(_planes(x)) for _, x in block.docs], pa.binary())], names)
+        def rows(block):
+            packed = block.packed(buckets)
+            while some := list(itertools.islice(packed, 64)):
+                kind, bucket, seq, ids, data = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([block.key] * len(some)), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seq, pa.int64()), pa.array(ids, pa.list_(id_type)), pa.array(data, pa.binary())], names)
 
-        def chunks(block):
-            words = [w.encode("utf-8", "surrogatepass") for w in block.number]
-            by = _bucket(words)
-            order = np.argsort(by, kind="stable")
-            cuts = np.searchsorted(by[order], np.arange(BUCKETS + 1))
-            out = []
-            for k in range(BUCKETS):
-                mine = order[cuts[k] : cuts[k + 1]]
-                if len(mine):
-                    some = [words[i] for i in mine]
-                    sizes = np.fromiter(map(len, some), np.uint32, len(some))
-                    out.append((k, _squeeze(len(some).to_bytes(4, "little") + sizes.tobytes() + mine.astype(np.uint32).tobytes() + b"".join(some))))
-            yield pa.RecordBatch.from_arrays([pa.array([block.key] * len(out), pa.string()), pa.array(np.zeros(len(out), np.int32)), pa.array([k for k, _ in out], pa.int32()), pa.array(np.zeros(len(out), np.int64)), pa.nulls(len(out), id_type), pa.array([d for _, d in out], pa.binary())], names)
-
-        ids = []
+        block = _Block()
         for b in batches:
-            id_type = b.column(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py() or ""
-                block.add(seq, find(t), len(t.encode("utf-8", "surrogatepass")))
-                ids.append(i)
-                seq += 1
-                if len(ids) >= 512:
-                    yield from rows(block, ids)
-                    block.docs, ids = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py() or ""
+                block.add(key, find(text), len(text.encode("utf-8", "surrogatepass")))
                 if block.bytes >= block_bytes:
-                    if ids:
-                        yield from rows(block, ids)
-                    yield from chunks(block)
-                    block, ids = _Block(), []
-        if ids:
-            yield from rows(block, ids)
-        if block.bytes or block.number:
-            yield from chunks(block)
-
-    names = ["block", "kind", "bucket", "seq", "id", "data"]
-    return docs.select(id_col, text_col).mapInArrow(run, _PARTS.format(id=kind))
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers with their lowest bytes first, then their next, and so on: packs well."""
-    return x.view(np.uint8).reshape(-1, 4).T.tobytes() if len(x) else b""
-
+                    yield from rows(block)
+                    block = _Block()
+        if block.docs:
+            yield from rows(block)
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"block string, kind int, bucket int, seq bigint, ids array<{kind}>, data binary")
 
 
 def _encode_words(asked: DataFrame, path: str, pattern: str) -> DataFrame:
     """For each chunk of words the chunk of their ids; a task encodes each distinct word of its buckets once."""
+    names = ["block", "kind", "bucket", "seq", "ids", "data"]
+    list_type = to_arrow_type(asked.schema["ids"].dataType)
 
     def run(batches):
         one = _encoding(path, pattern)._encode_single_piece
-        known: dict[bytes, bytes] = {}
-        bucket = None
+        known: dict[bytes, list[int]] = {}
+        last = None
         for b in batches:
             out = []
-            for k, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                if k != bucket:
-                    known, bucket = {}, k
-                raw = _widen(raw.as_py())
-                n = int.from_bytes(raw[:4], "little")
-                sizes = np.frombuffer(raw, np.uint32, n, 4)
-                at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) + 4 + 8 * n
-                at = at.tolist()
+            for bucket, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
+                chunk = _In(data.as_py())
+                classes, sizes, text = chunk.numbers(), chunk.numbers(), chunk.raw()
+                at = [0, *np.cumsum(sizes, dtype=np.int64).tolist()]
                 ids = []
-                for i in range(n):
-                    w = raw[at[i] : at[i + 1]]
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = np.array(one(w), dtype=np.uint32).tobytes()
-                    ids.append(x)
-                lengths = np.fromiter(map(len, ids), np.uint32, n) // 4
-                flat = np.frombuffer(b"".join(ids), np.uint32)
-                wide = 1 if lengths.max() < 256 else 4
-                out.append(_squeeze(raw[:4] + raw[4 + 4 * n : 4 + 8 * n] + lengths.astype(f"<u{wide}").tobytes() + _planes(flat) + bytes([wide])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(out), np.int32)), pa.array(np.zeros(len(out), np.int64)), pa.nulls(len(out), id_type), pa.array(out, pa.binary())], ["block", "kind", "seq", "id", "data"])
-
-    kind = asked.schema["id"].dataType.simpleString()
-    id_type = _arrow_type(asked)
-    dealt = asked.select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, f"block string, kind int, seq bigint, id {kind}, data binary")
+                for x, y in zip(at, at[1:], strict=False):
+                    w = text[x:y]
+                    if w not in known:
+                        known[w] = one(w)
+                    ids.append(known[w])
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+                out.append(_Out().numbers(classes).numbers(np.fromiter(map(len, ids), np.uint32, len(ids))).numbers(flat).pack())
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(n, np.int32)), b.column(1), pa.array(np.zeros(n, np.int64)), pa.nulls(n, list_type), pa.array(out, pa.binary())], names)
 
+    dealt = asked.select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, asked.schema)
 
-def _arrow_type(df: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(df.schema["id"].dataType)
+def _together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's words, and of each word's number their start and count; chunks in the order of their buckets."""
+    if not chunks:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    opened = [_In(c) for c in chunks]
+    classes = np.stack([c.numbers() for c in opened]).astype(np.int64)  # buckets x classes
+    size = np.concatenate([c.numbers() for c in opened]).astype(np.int64)
+    flat = np.concatenate([c.numbers() for c in opened])
+    first = np.cumsum(size) - size
+    # Chunks hold words by bucket, then class; numbers go by class, then bucket.
+    begin = (np.cumsum(classes.T.ravel()) - classes.T.ravel()).reshape(classes.T.shape).T
+    number = _spread(begin.ravel(), classes.ravel())
+    start, count = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    start[number], count[number] = first, size
+    return flat, start, count
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(id, ids, decoded) of each row: its token ids, and the bytes that they stand for."""
-    cut = written(_cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", pattern, block_bytes), "pieces", "none")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * n))
+    cut = _by_block(_cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", pattern, block_bytes, buckets), n)
     back = _encode_words(cut.where("kind = 0"), path, pattern)
-    rows = cut.where("kind = 1").select("block", "kind", "seq", "id", "data").union(back)
-    id_type = _arrow_type(cut)
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    schema = pa.schema([(id_col, id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
-    def run(batches):
+    def reassemble(packs: pa.Table, chunks: pa.Table) -> pa.Table:
         table = _token_bytes(path)
-        key, waiting, words = None, [], None
-        for b in batches:
-            ids, lists, texts, n = [], [], [], 0
-            for block, kind, i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                if block != key:
-                    key, waiting, words = block, [], None
-                raw = _widen(raw.as_py())
-                if kind == 0:
-                    waiting.append(raw)
-                    continue
-                if words is None:
-                    words, waiting = _together(waiting), []
-                flat, start, size = words
-                at = _unplanes(raw)
-                got = flat[_spread(start[at], size[at])]
-                ids.append(i)
-                lists.append(got)
-                texts.append(decode(got, table))
-                n += len(got)
-                if n > 1_000_000:
-                    yield _result(ids, lists, texts)
-                    ids, lists, texts, n = [], [], [], 0
-            if ids:
-                yield _result(ids, lists, texts)
-
-    def _result(ids, lists, texts):
-        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        values = pa.array(np.concatenate(lists).astype(np.int32), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.ListArray.from_arrays(pa.array(at), values), pa.array(texts, pa.binary())], [id_col, "ids", "decoded"])
+        words = _together(chunks.sort_by("bucket").column("data").to_pylist())
+        packs = packs.sort_by("seq")
+        out = [documents(keys.as_py(), _In(data.as_py()), words, table) for keys, data in zip(packs.column("ids"), packs.column("data"), strict=True)]
+        return pa.Table.from_batches(out, schema)
+
+    def documents(keys, packed, words, table):
+        flat, start, size = words
+        lengths, at = packed.numbers().astype(np.int64), packed.numbers()
+        ids = flat[_spread(start[at], size[at])]
+        # Where documents end among the words, then among the ids, then among the bytes.
+        ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(lengths)])]
+        cuts = np.concatenate([[0], np.cumsum(table[2][ids])])[ends]
+        text = decode(ids, table)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        texts = pa.array([text[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(keys, id_type), lists, texts], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    packs = cut.where("kind = 1").select("block", "seq", "ids", "data")
+    return packs.groupBy("block").cogroup(back.select("block", "bucket", "data").groupBy("block")).applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
-def _together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of a block's words, and of each word's number their start and count."""
-    flats, numbers, sizes = [], [], []
-    for raw in chunks:
-        n, wide = int.from_bytes(raw[:4], "little"), raw[-1]
-        numbers.append(np.frombuffer(raw, np.uint32, n, 4))
-        sizes.append(np.frombuffer(raw, f"<u{wide}", n, 4 + 4 * n).astype(np.int64))
-        flats.append(_unplanes(raw[4 + 4 * n + wide * n : -1]))
-    if not chunks:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number, size = np.concatenate(numbers), np.concatenate(sizes)
-    first = np.cumsum(size) - size
-    start, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    start[number], count[number] = first, size
-    return np.concatenate(flats), start, count
+def _by_block(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` written to the shared folder as a table bucketed by block, so that the documents' positions are never
+    shuffled: only words and their ids travel."""
+    path, name = fresh_path(rows.sparkSession, "pieces"), f"lacuna_pieces_{uuid.uuid4().hex}"
+    rows.write.bucketBy(n, "block").option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
 
 
 def digest(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
