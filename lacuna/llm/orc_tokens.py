@@ -15,9 +15,9 @@ keep the order of the input; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(others)) for b in range(256)}
 
 
+#: The same punctuation, for words that are else letters of ASCII.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+#: Stands after each text; no text in UTF-8 has this byte. Its ids are one -1.
+_END, _MARK = b"\xff", np.array([-1], dtype=np.int32).tobytes()
+#: Bytes of text that are looked up together.
+PART = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
 class WordEncoder:
     """Ids of whole texts, word by word, for a tokenizer that starts anew at white space and marks the ends of words."""
 
@@ -53,7 +64,7 @@ class WordEncoder:
         self.bare = Tokenizer(self.tok.model)  # for words that are one pre-token, in the letters of the vocabulary
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {_END: _MARK}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -71,56 +82,68 @@ class WordEncoder:
     def _any(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of each distinct word."""
-        letters, marks, rest, parts = set(), set(), [], []
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            m = _SPLIT.match(s)
-            if m:
-                a, b = m[1].lower(), m[2]
-                parts.append((w, a, b))
-                letters.add(a)
-                if b:
-                    marks.add(b)
+        known, parts, rest = self.memo, [], []
+        wanted = {w for w in words if w.isalpha()}  # letters of ASCII, in lower case but in texts with combining marks
+        for w in words - wanted:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                parts.append((w, core, w[len(core) :]))
+            elif m := _SPLIT.match(s := w.decode("utf-8", "surrogatepass")):
+                parts.append((w, m[1].lower().encode(), (m[2] or "").encode()))
             else:
                 rest.append((w, s))
-        core, tail = sorted(letters), list(marks)
-        known = dict(zip(core, self._plain(core), strict=True)) if core else {}
-        known |= dict(zip(tail, self._any(tail), strict=True))
-        out = {w: known[a] + known[b] if b else known[a] for w, a, b in parts}
+        wanted.update(core for _, core, _ in parts if core not in known)
+        core = sorted(wanted)
+        out = dict(zip(core, self._plain([w.decode().lower() for w in core]), strict=True)) if core else {}
+        tail = list({t for _, _, t in parts if t not in known})
+        out.update(zip(tail, self._any([t.decode() for t in tail]), strict=True))
+        for w, core, t in parts:
+            out[w] = (out.get(core) or known[core]) + (out.get(t) or known[t] if t else b"")
         out.update(zip((w for w, _ in rest), self._any([s for _, s in rest]), strict=True))
         return out
 
-    def _part(self, words: list[list[bytes]]) -> list[bytes]:
-        """Ids of lists of words; all their distinct words are held at once."""
-        flat = words[0] if len(words) == 1 else list(itertools.chain.from_iterable(words))
-        found = list(map(self.memo.get, flat))
+    def _part(self, raw: bytes) -> np.ndarray:
+        """Ids of normal text; ``_END`` gives -1."""
+        words = raw.split()
+        found = list(map(self.memo.get, words))
         if None in found:
-            new = self._ids(list({w for w, v in zip(flat, found, strict=True) if v is None}))
-            found = [v if v is not None else new[w] for w, v in zip(flat, found, strict=True)]
+            new = self._ids({w for w, v in zip(words, found, strict=True) if v is None})
+            found = [v if v is not None else new[w] for w, v in zip(words, found, strict=True)]
             if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
+                self.memo = {_END: _MARK}
             self.memo.update(new)
-        at = list(itertools.accumulate(map(len, words), initial=0))
-        return [b"".join(found[i:j]) for i, j in zip(at, at[1:], strict=False)]
-
-    def encode(self, texts: list[str | None], at_once: int = 200_000) -> list[bytes]:
-        """Of each text the ids as little-endian 32-bit integers; ``at_once``: words looked up together."""
-        out, part, n = [], [], 0
-        for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            # Letter case of ASCII goes first, but where a combining mark could compose with a letter.
-            w = raw.split() if b"\xcc" in raw or b"\xcd" in raw else raw.lower().split()
-            if n + len(w) > at_once:
-                out += self._part(part)
-                part, n = [], 0
-                if len(w) > at_once:  # a very long text: its words, so many at a time
-                    out.append(b"".join([x for i in range(0, len(w), at_once) for x in self._part([w[i : i + at_once]])]))
-                    continue
-            part.append(w)
-            n += len(w)
-        return out + self._part(part)
+        return np.frombuffer(b"".join(found), dtype=np.int32)
+
+    def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8) one after the other, each with ``end_id`` behind it if given, and their numbers."""
+        ids = np.concatenate([np.zeros(0, np.int32), *map(self._part, _parts(texts))])
+        ends = np.flatnonzero(ids == -1)
+        sizes = np.diff(ends, prepend=-1)
+        if end_id is None:
+            return np.delete(ids, ends), sizes - 1
+        ids[ends] = end_id
+        return ids, sizes
+
+
+def _parts(texts: list[bytes | None]) -> Iterator[bytes]:
+    """Texts with ``_END`` behind each, joined up to ``PART`` bytes; longer ones cut at white space."""
+    held, n = [], 0
+    for t in texts:
+        raw = t or b""
+        # Letter case of ASCII goes first, but where a combining mark could compose with a letter.
+        raw = raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+        while len(raw) > PART and (m := _SPACE.search(raw, PART)):
+            yield b" ".join([*held, raw[: m.start()]])
+            held, n, raw = [], 0, raw[m.start() :]
+        held += [raw, _END]
+        n += len(raw)
+        if n >= PART:
+            yield b" ".join(held)
+            held, n = [], 0
+    if held:
+        yield b" ".join(held)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -132,25 +155,18 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _lists(rows: list[bytes]) -> pa.ListArray:
-    values = np.frombuffer(b"".join(rows), dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)), pa.array(values, pa.int32()))
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """(doc_id, part, local_start, n_tokens, ids) of whole texts; ``local_start`` counts within the partition ``part``."""
-    end = np.array([end_id], dtype=np.int32).tobytes()
-
     def run(batches):
         enc, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                rows = [r + end for r in enc.encode(b.column(1).to_pylist())]
-                n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+            for i in range(0, whole.num_rows, 2048):
+                b = whole.slice(i, 2048)
+                ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), _lists(rows)], ["doc_id", "part", "local_start", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n_tokens bigint, ids array<int>")
