@@ -16,8 +16,6 @@ other and each give a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,20 +44,21 @@ def fit(vectors: np.ndarray, rounds: int = ROUNDS, bits: int = BITS, seed: int =
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
         r = (u @ w).T
-    return mean, axes @ r
+    turned = axes @ r
+    if turned.shape[1] < bits:  # few dimensions: the code is filled up with random directions
+        turned = np.concatenate([turned, rng.standard_normal((len(turned), bits - turned.shape[1]))], axis=1)
+    return mean, turned
 
 
 def codes_of(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The codes of unit vectors, as unsigned 64-bit integers; missing bits are zero."""
+    """The codes of unit vectors, as unsigned 64-bit integers."""
     signs = (vectors - model[0]) @ model[1] > 0
-    full = np.zeros((len(vectors), 64), bool)
-    full[:, : signs.shape[1]] = signs
-    return np.packbits(full, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def plan_tables(rows: int, bits: int) -> tuple[int, int]:
+def plan_tables(rows: int) -> tuple[int, int]:
     """(bits of a substring, differing bits it may have) for so many rows of a label and length."""
-    return (16, 1) if rows > 1 << 20 and bits >= 32 else (min(8, bits), 0)
+    return (16, 1) if rows > 1 << 20 else (8, 0)
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -115,7 +114,7 @@ def _links(reps: DataFrame, models: dict[int, tuple], threshold: float, bucket_r
                 rows = np.flatnonzero(dims == dim)
                 code = codes_of(_unit([vecs[i] for i in rows]), models[dim])
                 width, radius = plans[dim]
-                for t in range(min(BITS, dim) // width):
+                for t in range(BITS // width):
                     sub = (code >> np.uint64(t * width)) & np.uint64((1 << width) - 1)
                     flips = [0, *(1 << k for k in range(width) if radius)]
                     for f in flips:
@@ -212,7 +211,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim, most in sizes:
         some = reps.where(F.col("dim") == dim).select("vec", F.xxhash64("vec").alias("_h")).orderBy("_h").limit(max_fit).collect()
         models[dim] = fit(_unit([r["vec"] for r in some]))
-        plans[dim] = plan_tables(most, min(BITS, dim))
+        plans[dim] = plan_tables(most)
     links = written(_links(reps, models, threshold, bucket_rows, plans), "links")
     counts = links.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("rid").alias("u"), F.col("other").alias("v"))).join(reps.select(F.col("rid").alias("node"), "first"), "node")
