@@ -152,7 +152,8 @@ def run(args: argparse.Namespace):
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        print(render(run(args), args.format), end="")
+        rows = run(args)
+        print(render(rows.orderBy("rank") if "rank" in rows.columns else rows, args.format), end="")
     except BrokenPipeError:  # the reader has closed first, as head does
         return 0
     except Exception as e:  # noqa: BLE001  a command's failure is its message and exit code

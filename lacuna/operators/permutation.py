@@ -52,26 +52,75 @@ def jump(state: int, steps: int) -> int:
     return state
 
 
-def shuffle(docs: list[list[int]], state: int) -> list[list[int]]:
-    """Documents after the attempted swaps: each swaps one label between two documents unless it would repeat one."""
-    docs = [list(d) for d in docs]
-    held = [set(d) for d in docs]
-    where = [(i, s) for i, d in enumerate(docs) for s in range(len(d))]
-    m = len(where)
-    for _ in range(SWEEPS * m):
-        state = step(state)
-        d1, s1 = where[((state * MULTIPLIER) & _MASK) % m]
-        state = step(state)
-        d2, s2 = where[((state * MULTIPLIER) & _MASK) % m]
-        x, y = docs[d1][s1], docs[d2][s2]
-        if d1 == d2 or x == y or y in held[d1] or x in held[d2]:
-            continue
-        docs[d1][s1], docs[d2][s2] = y, x
-        held[d1].remove(x)
-        held[d1].add(y)
-        held[d2].remove(y)
-        held[d2].add(x)
-    return docs
+def draws(state: int, count: int, lanes: int = 256) -> np.ndarray:
+    """The next ``count`` numbers of the generator from ``state``: many stretches of the stream side by side."""
+    length = -(-count // lanes)
+    power, steps = [step(1 << i) for i in range(64)], length
+    far = [1 << i for i in range(64)]  # the matrix of ``length`` steps
+    while steps:
+        if steps & 1:
+            far = [_times(power, c) for c in far]
+        power = [_times(power, c) for c in power]
+        steps >>= 1
+    starts = [state]
+    for _ in range(lanes - 1):
+        starts.append(_times(far, starts[-1]))
+    x = np.array(starts, dtype=np.uint64)
+    out = np.empty((length, lanes), np.uint64)
+    for i in range(length):
+        x ^= x >> np.uint64(12)
+        x ^= x << np.uint64(25)
+        x ^= x >> np.uint64(27)
+        out[i] = x * np.uint64(MULTIPLIER)
+    return out.T.ravel()[:count]
+
+
+def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
+    """The labels of incidences (document, label) after the attempted swaps: each swaps two labels between two
+    documents, unless one of them would have a label twice."""
+    m = len(doc)
+    lab, docs = label.tolist(), doc.tolist()
+    held: list[set[int]] = [set() for _ in range(docs[-1] + 1 if m else 0)]
+    for d, x in zip(docs, lab, strict=True):
+        held[d].add(x)
+    left, at = SWEEPS * m, state
+    while left:
+        n = min(left, 500_000)
+        both = (draws(at, 2 * n) % np.uint64(m)).tolist()
+        for i, j in zip(both[::2], both[1::2], strict=True):
+            x, y = lab[i], lab[j]
+            if x == y:
+                continue
+            d, e = docs[i], docs[j]
+            one, two = held[d], held[e]
+            if d == e or y in one or x in two:
+                continue
+            lab[i], lab[j] = y, x
+            one.remove(x)
+            one.add(y)
+            two.remove(y)
+            two.add(x)
+        left -= n
+        if left:
+            at = jump(at, 2 * n)
+    return np.array(lab, dtype=np.int64)
+
+
+def counted(doc: np.ndarray, label: np.ndarray, labels: int, wanted: np.ndarray) -> np.ndarray:
+    """How many documents have each wanted pair, as sorted codes smaller * labels + larger; ``doc`` is sorted."""
+    order = np.lexsort((label, doc))
+    doc, label = doc[order], label[order]
+    count = np.zeros(len(wanted), np.int64)
+    shift = 1
+    while len(wanted) and shift < len(doc):
+        same = doc[shift:] == doc[:-shift]
+        if not same.any():
+            break
+        code = label[:-shift][same] * labels + label[shift:][same]
+        at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+        count += np.bincount(at[wanted[at] == code], minlength=len(wanted))
+        shift += 1
+    return count
 
 
 def midrank_auroc(order: np.ndarray, twice: np.ndarray, labels: np.ndarray) -> float | None:
@@ -98,35 +147,29 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
     # Independent of the order of the corpus: labels by id, documents by their labels.
     ids = [r[0] for r in result.test.labels.select("label_id").orderBy("label_id").collect()]
     number = {x: i for i, x in enumerate(ids)}
-    docs = sorted(sorted(number[x] for x in r[0]) for r in result.test.documents.select(F.transform("labels", lambda l: l["label_id"])).collect())  # noqa: E741
-    rows = pairs.select("place", "label_id_a", "label_id_b", "test_expected").orderBy("place").collect()
+    docs = sorted(sorted(number[x] for x in r[0]) for r in result.test.documents.where(F.size("labels") > 0).select(F.transform("labels", lambda l: l["label_id"])).collect())  # noqa: E741
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    label = np.array([x for d in docs for x in d], dtype=np.int64)
+    rows = pairs.select("place", "label_id_a", "label_id_b", "test_expected").collect()
+    code = {r["place"]: min(number[r["label_id_a"]], number[r["label_id_b"]]) * len(ids) + max(number[r["label_id_a"]], number[r["label_id_b"]]) for r in rows}
+    rows.sort(key=lambda r: code[r["place"]])
     place = {r["place"]: i for i, r in enumerate(rows)}
     table = np.zeros((len(SCORERS), len(rows)))
     for r in scored.select("place", "scorer", "score").collect():
         table[SCORERS.index(r["scorer"]), place[r["place"]]] = r["score"] + 0.0
-    wanted = {(min(a, b), max(a, b)): i for i, (a, b) in enumerate((number[r["label_id_a"]], number[r["label_id_b"]]) for r in rows)}
-    sent = spark.sparkContext.broadcast((docs, wanted, np.array([r["test_expected"] for r in rows]), table))
+    codes = np.array([code[r["place"]] for r in rows], dtype=np.int64)
+    sent = spark.sparkContext.broadcast((doc, label, len(ids), codes, np.array([r["test_expected"] for r in rows]), table))
 
     def run(batches):
-        docs, wanted, expected, table = sent.value
-        m = sum(map(len, docs))
+        doc, label, labels, codes, expected, table = sent.value
         orders = [np.argsort(s, kind="stable") for s in table]
         ranks = [_twice_midranks(s[o]) for s, o in zip(table, orders, strict=True)]
-        of: dict[int, set[int]] = {}
-        for a, b in wanted:
-            of.setdefault(a, set()).add(b)
         for pdf in batches:
             out = []
             for i in pdf["id"]:
-                count = np.zeros(len(expected), np.int64)
-                for d in shuffle(docs, jump(NULL_SEED, int(i) * 2 * SWEEPS * m)):
-                    have = set(d)
-                    for a in d:
-                        for b in of.get(a, ()) if len(of.get(a, ())) < len(have) else have & of.get(a, set()):
-                            if b in have:
-                                count[wanted[a, b]] += 1
-                labels = count > 0 if positive == "co_tagged" else (expected > 0) & (count >= expected)
-                found = [midrank_auroc(o, t, labels) for o, t in zip(orders, ranks, strict=True)]
+                count = counted(doc, shuffled(doc, label, jump(NULL_SEED, int(i) * 2 * SWEEPS * len(doc))), labels, codes)
+                positives = count > 0 if positive == "co_tagged" else (expected > 0) & (count >= expected)
+                found = [midrank_auroc(o, t, positives) for o, t in zip(orders, ranks, strict=True)]
                 if None not in found:
                     out.append((int(i), *found))
             yield pd.DataFrame(out, columns=["id", *SCORERS])
