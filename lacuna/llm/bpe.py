@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lacuna.llm.common import fresh_path
 
 #: Bytes of text in a block; a block's distinct words fit in a worker's memory.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 #: Pre-tokens of the documents in one row, about.
 PACK = 250_000
 #: Bounds of the number of buckets; between them it is four for each shuffle partition.
@@ -149,6 +149,7 @@ class _Block:
     def packed(self, buckets: int):
         """Rows (kind, bucket, seq, ids, data): the documents (kind 1), and the words of each bucket (kind 0)."""
         words = [w.encode("utf-8", "surrogatepass") for w in self.number]
+        self.number = {}
         count = np.bincount(np.concatenate(self.docs), minlength=len(words)) if words else np.zeros(0, np.int64)
         rare = CLASSES - 1 - np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), CLASSES - 1)
         bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
@@ -199,6 +200,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes:
                     block = _Block()
         if block.docs:
             yield from rows(block)
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"block string, kind int, bucket int, seq bigint, ids array<{kind}>, data binary")

@@ -300,50 +300,49 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
     Texts that hold no window stay as they are; null stays null.
     """
-    at = docs.columns.index(text_col)
-    schema = docs.schema
+    at, schema = docs.columns.index(text_col), docs.schema
     hit = "_hit"
     while hit in docs.columns:
         hit += "_"
-    out = docs.withColumn(hit, F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
-    wide = out.schema
+    wide = docs.withColumn(hit, F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).schema
+
+    def mapper(sent, first, last):
+        """One pass: marks the hits of a block of items, and at the last one cuts; a task needs one worker."""
 
-    def marker(sent):
         def run(batches):
             for whole in batches:
                 for i in range(0, max(whole.num_rows, 1), 4096):
                     b = whole.slice(i, 4096)
-                    found = find_windows(sent.value, b.column(at).to_pylist())
-                    col = b.column(b.num_columns - 1)
-                    if any(f[1] for f in found):
-                        spans = [union(sorted([*((s["start"], s["end"]) for s in x), *f[1]])) for x, f in zip(col.to_pylist(), found, strict=True)]
-                        col = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], col.type)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], col], schema=b.schema)
+                    rest = b if first else b.select(b.schema.names[:-1])
+                    spans = [f[1] for f in find_windows(sent.value, b.column(at).to_pylist())]
+                    if not first:
+                        spans = [union(sorted([*((s["start"], s["end"]) for s in x), *f])) for x, f in zip(b.column(b.num_columns - 1).to_pylist(), spans, strict=True)]
+                    if last:
+                        yield cut(rest, spans)
+                    else:
+                        marks = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                        yield pa.RecordBatch.from_arrays([*rest.columns, marks], [*rest.schema.names, hit])
 
         return run
 
-    def cutter(batches):
-        for b in batches:
-            col = b.column(b.num_columns - 1)
-            rest = b.select(b.schema.names[:-1])
-            if not len(col.flatten()):
-                yield rest
-                continue
-            texts, keep = b.column(at).to_pylist(), []
-            for i, x in enumerate(col.to_pylist()):
-                spans = [(s["start"], s["end"]) for s in x]
-                keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(words_of(texts[i])))
-                if spans and keep[-1]:
-                    texts[i] = cut_words(texts[i], spans)
-            yield rest.set_column(at, rest.schema.field(at), pa.array(texts, rest.schema.field(at).type)).filter(pa.array(keep))
-
-    for automaton, n in _automata(benchmark, item_col, item_text_col, window, block_words):
+    def cut(b, found):
+        if not any(found):
+            return b
+        texts, keep = b.column(at).to_pylist(), []
+        for i, spans in enumerate(found):
+            keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(words_of(texts[i])))
+            if spans and keep[-1]:
+                texts[i] = cut_words(texts[i], spans)
+        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep))
+
+    out = docs
+    for k, (automaton, n) in enumerate(_automata(benchmark, item_col, item_text_col, window, block_words)):
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(marker(sent), wide)
+        out = out.mapInArrow(mapper(sent, k == 0, k + 1 == n), schema if k + 1 == n else wide)
         if n > 1:
             out = written(out, "marked")
             sent.unpersist()
-    return out.mapInArrow(cutter, schema)
+    return out
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

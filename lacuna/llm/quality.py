@@ -31,7 +31,7 @@ RANK = 8
 MAX_TRAIN = 6_000
 BINS = 12
 #: Words remembered with their hashes in a worker, at most.
-MEMO = 400_000
+MEMO = 150_000
 
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
