@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyarrow.orc import ORCFile
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lacuna.llm.common import open_fs
 
 #: Words remembered with their ids in a worker, at most.
 MEMO = 800_000
@@ -63,19 +66,20 @@ class WordEncoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bare = Tokenizer(self.tok.model)  # for words that are one pre-token, in the letters of the vocabulary
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = _byte_letters()
+        self.letters = _byte_letters() | {32: " "}
         self.memo: dict[bytes, bytes] = {_END: _MARK}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _plain(self, words: list[str]) -> list[bytes]:
+    def _plain(self, words: list[bytes]) -> list[bytes]:
         """Ids of strings of lower-case letters alone, each of which is one pre-token and so has one token that ends a word."""
-        text = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words])
+        text = b" ".join(words)
+        text = text.decode() if text.isascii() else text.decode("latin-1").translate(self.letters)
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
         cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         if len(cuts) != len(words):
-            return self._any(words)
+            return self._any([w.decode() for w in words])
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
@@ -85,18 +89,27 @@ class WordEncoder:
     def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of each distinct word."""
         known, parts, rest = self.memo, [], []
-        wanted = {w for w in words if w.isalpha()}  # letters of ASCII, in lower case but in texts with combining marks
+        wanted = {w for w in words if w.isalpha()}  # letters of ASCII
+        others = set()
         for w in words - wanted:
             core = w.rstrip(_MARKS)
             if core.isalpha():
                 parts.append((w, core, w[len(core) :]))
+                if core not in known:
+                    wanted.add(core)
             elif m := _SPLIT.match(s := w.decode("utf-8", "surrogatepass")):
-                parts.append((w, m[1].lower().encode(), (m[2] or "").encode()))
+                core = m[1].lower().encode()
+                parts.append((w, core, (m[2] or "").encode()))
+                if core not in known:
+                    others.add(core)
             else:
                 rest.append((w, s))
-        wanted.update(core for _, core, _ in parts if core not in known)
-        core = sorted(wanted)
-        out = dict(zip(core, self._plain([w.decode().lower() for w in core]), strict=True)) if core else {}
+        out = {}
+        for some in (wanted, others):
+            if some:
+                core = sorted(some)
+                # Upper case is left only in texts with combining marks.
+                out.update(zip(core, self._plain([w.lower() for w in core]), strict=True))
         tail = list({t for _, _, t in parts if t not in known})
         out.update(zip(tail, self._any([t.decode() for t in tail]), strict=True))
         for w, core, t in parts:
@@ -179,26 +192,49 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     encode(ordered, tokenizer, "doc_id", "text", end_id).write.options(**ORC_OPTIONS).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents in ``path``; ``start`` counts the ids of all documents before."""
-    schema = T.StructType([T.StructField("doc_id", id_type or T.LongType()), T.StructField("part", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = spark.read.schema(schema).orc(path)
-    # One row per file, so this stays small: its size is that of a file listing.
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = files.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+def _before(spark: SparkSession, path: str) -> DataFrame:
+    """(part, before): the ids in the files before each; one row per file, so it stays as small as a file listing."""
+    files = spark.read.schema("part bigint, n_tokens bigint").orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return files.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
+def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of all documents in ``path``; ``start`` counts the ids of all documents before.
 
+    Filters on ``doc_id`` reach the files: their statistics and Bloom filters prune stripes and row groups.
+    """
+    rows = spark.read.schema(f"doc_id {id_type}, part bigint, local_start bigint, n_tokens bigint, ids array<int>").orc(path)
+    return rows.join(F.broadcast(_before(spark, path)), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with ``ids_crc32`` for its ids: the checksum of them as little-endian unsigned 32-bit integers."""
+
+def read_stripes(spark: SparkSession, path: str, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, columns: tuple[str, ...] = ("doc_id", "part", "local_start", "ids")) -> DataFrame:
+    """``each`` applied to the rows of every stripe, where they are read: a task opens files and takes stripe by stripe."""
+    fs, base = open_fs(path)
+    files = [(i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".orc")]
+    listed = spark.createDataFrame(files or [("", 0)], "name string, size bigint")
 
     def run(batches):
+        fs, base = open_fs(path)
         for b in batches:
-            ids = b.column(3)
-            at = ids.offsets.to_numpy()
-            raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).tobytes())
-            crc = [zlib.crc32(raw[4 * int(x) : 4 * int(y)]) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+            for name in filter(None, b.column(0).to_pylist()):
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    orc = ORCFile(f)
+                    for i in range(orc.nstripes):
+                        yield each(orc.read_stripe(i, columns=list(columns)))
+
+    return listed.repartition(max(1, len(files)), "name").mapInArrow(run, schema)
+
+
+def checksums(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of all documents in ``path``: the checksum of their ids as little-endian
+    unsigned 32-bit integers."""
+
+    def each(b):
+        ids = b.column("ids")
+        at = ids.offsets.to_numpy()
+        raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).view(np.uint8))
+        crc = [zlib.crc32(raw[4 * int(x) : 4 * int(y)]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("local_start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
+
+    rows = read_stripes(spark, path, each, f"doc_id {id_type}, part bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(F.broadcast(_before(spark, path)), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

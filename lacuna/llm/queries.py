@@ -50,7 +50,7 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = fresh_path(spark, "tokens")
     orc_tokens.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"))
-    return orc_tokens.checksums(orc_tokens.read_tokens(spark, path, docs.schema["doc_id"].dataType))
+    return orc_tokens.checksums(spark, path, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
