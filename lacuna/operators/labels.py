@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.arrays import let
 from lacuna.params import CONCEPTS, LabelFilter
+from lacuna.session import cut
 
 
 def label_documents(works: DataFrame, labels: LabelFilter) -> DataFrame:
@@ -51,7 +52,11 @@ def cooccurrence(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class LabelGraph:
-    """``n_works`` counts all works, those without labels and repeated ids too."""
+    """``n_works`` counts all works, those without labels and repeated ids too.
+
+    Labels and pairs are aggregates, far smaller than the corpus, and everything else is made of them; so they are
+    computed once and checkpointed, and the corpus is read twice in all.
+    """
 
     n_works: int
     documents: DataFrame
@@ -61,7 +66,7 @@ class LabelGraph:
 
 def label_graph(works: DataFrame, labels: LabelFilter) -> LabelGraph:
     documents = label_documents(works, labels)
-    return LabelGraph(works.count(), documents, label_table(documents), cooccurrence(documents))
+    return LabelGraph(works.count(), documents, cut(label_table(documents)), cut(cooccurrence(documents)))
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

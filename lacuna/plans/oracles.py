@@ -154,10 +154,15 @@ cohorts(position, cohort) AS (VALUES (1, 'top_{TOP}_gaps'), (2, 'train_lift = 0'
 member AS (SELECT 'top_{TOP}_gaps' AS cohort, pairs.* FROM pairs JOIN best USING (label_id_a, label_id_b) UNION ALL SELECT bucket, pairs.* FROM pairs UNION ALL SELECT 'all_candidates', pairs.* FROM pairs),
 sums AS (SELECT cohort, count(*) AS pairs, count(*) FILTER (test_observed > 0) AS hits, count(*) FILTER (test_expected >= 3) AS evaluable, count(*) FILTER (test_expected >= 3 AND test_observed > 0) AS evaluable_hits,
   median(test_expected) AS me, median(test_lift) AS ml FROM member GROUP BY cohort)"""
-    return {
-        "scan_works": f"""WITH {BASE}, hist AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders), c AS (SELECT ord, count(*) AS k FROM base GROUP BY ord)
+    scan = f"""WITH {BASE}, hist AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders), c AS (SELECT ord, count(*) AS k FROM base GROUP BY ord)
 SELECT o_orderkey AS ord, 'W' || o_orderkey AS id, 'Order ' || o_orderkey AS title, year(o_orderdate)::INTEGER AS year, floor(o_totalprice)::BIGINT AS cited_by_count, least(i - 1, 5)::BIGINT AS n_refs, coalesce(k, 0)::BIGINT AS n_concepts, coalesce(k, 0)::BIGINT AS n_topics
-FROM orders JOIN hist USING (o_orderkey) LEFT JOIN c ON c.ord = o_orderkey""",
+FROM orders JOIN hist USING (o_orderkey) LEFT JOIN c ON c.ord = o_orderkey"""
+    return {
+        "scan_works": scan,
+        "jsonl_round_trip": f"SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, * EXCLUDE (ord) FROM ({scan})",
+        "api_pages": """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, * FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT ord, 'W' || o_orderkey AS id, 'Order ' || o_orderkey AS title, year(o_orderdate)::INTEGER AS year, CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice)::BIGINT ELSE 0 END AS cited_by_count, 'W' || (o_orderkey - 1) AS ref, 0::BIGINT AS n_concepts, 'order no' || o_orderkey || ' order' AS abstract
+FROM o WHERE ord < 5000""",
         "normalize_ids": f"SELECT o_orderkey, CASE WHEN starts_with(raw, '{_ID}') THEN substr(raw, {len(_ID) + 1}) ELSE raw END AS id FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '{_ID}W' || o_orderkey ELSE 'W' || o_orderkey END AS raw FROM orders)",
         "dedup_works": "SELECT min(o_orderkey)::BIGINT AS ord, 'C-' || o_custkey || '-' || year(o_orderdate) AS id FROM orders WHERE o_orderkey < 10000 GROUP BY 2",
         "abstracts": "SELECT doc_id, sha256(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0",

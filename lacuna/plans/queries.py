@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -19,10 +20,10 @@ from lacuna.operators.gaps import find_bridges, find_gaps, gap_pairs, gap_rows,
 from lacuna.operators.labels import cooccurrence, incidence, label_documents, label_graph, label_table, neighbours, top_labels
 from lacuna.operators.textcheck import evidence, text_hits, texts, verify_gaps
 from lacuna.params import CONCEPTS, STRATA, TOPICS, LabelFilter
-from lacuna.session import cut
+from lacuna.session import cut, shared_dir
 from lacuna.sources.adapters import basket_works, document_works, part_edges, read
-from lacuna.sources.corpus import abstract_of, bare_id, truncate_dedup
-from lacuna.sources.schema import ID_PREFIX, WORKS
+from lacuna.sources.corpus import abstract_of, bare_id, normalise_pages, number_rows, read_works, truncate_dedup, write_works
+from lacuna.sources.schema import ID_PREFIX, PAGE, WORKS
 
 #: Brand and type of parts, any level; the names of parts; words of documents.
 BRANDS, NAMES, WORDS = LabelFilter(CONCEPTS, 0, 0.4), LabelFilter(TOPICS), LabelFilter(CONCEPTS, 2, 0.4)
@@ -75,6 +76,38 @@ def abstracts(spark, d):
     return index.select("doc_id", F.sha2(abstract_of(F.col("index")), 256).alias("digest"))
 
 
+@query
+def jsonl_round_trip(spark, d):
+    """Works written as JSON lines and read back with the checked schema."""
+    path = f"{shared_dir(spark)}/works-{uuid.uuid4().hex}"
+    write_works(basket_works(spark, d, references=True), path)
+    w = read_works(spark, path)
+    return w.select("ord", "id", "title", "year", "cited_by_count", F.size("referenced_works").cast("bigint").alias("n_refs"), F.size("concepts").cast("bigint").alias("n_concepts"), F.size("topics").cast("bigint").alias("n_topics"))
+
+
+@query
+def api_pages(spark, d):
+    """Orders as pages of an API, two hundred keys a page: every tenth without an id, every third without citations."""
+    o = read(spark, d, "orders")
+    key = F.col("o_orderkey")
+    index = F.map_from_arrays(F.array(F.lit("order"), F.concat(F.lit("no"), key.cast("string"))), F.array(F.array(F.lit(0), F.lit(2)), F.array(F.lit(1))))
+    result = F.struct(
+        F.when(key % 10 != 0, F.concat(F.lit(ID_PREFIX + "W"), key.cast("string"))).alias("id"), F.concat(F.lit("Order "), key.cast("string")).alias("display_name"), F.year("o_orderdate").alias("publication_year"),
+        F.when(key % 3 != 0, F.floor("o_totalprice")).alias("cited_by_count"), F.array(F.concat(F.lit(ID_PREFIX + "W"), (key - 1).cast("string"))).alias("referenced_works"), index.alias("abstract_inverted_index"),
+    )
+    lists = o.groupBy(F.expr("cast(o_orderkey div 200 as int)").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), result.alias("r"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["r"]).alias("results"))  # a page
+    bodies = lists.select("page", F.from_json(F.to_json(F.struct("results")), PAGE).alias("b")).select("page", "b.*")
+    works = truncate_dedup(number_rows(normalise_pages(bodies)), 5000)
+    return works.select("ord", "id", "title", "year", "cited_by_count", F.element_at("referenced_works", 1).alias("ref"), F.size("concepts").cast("bigint").alias("n_concepts"), "abstract")
+
+
+@query
+def snippets(spark, d):
+    """What stands around a word in the documents' texts, cut by bytes."""
+    t = texts(document_works(spark, d))
+    return t.select("ord", snippet_udf([" that ", " with "])("text").alias("snippet"))
+
+
 @query
 def label_incidence(spark, d):
     return incidence(basket_works(spark, d), BRANDS).select("ord", "label_id", "level", F.col("pos").cast("bigint").alias("pos"))

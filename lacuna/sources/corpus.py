@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,20 +20,32 @@ class CorpusError(Exception):
     """A corpus file that can't be used; the message has its path and line."""
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, path, line, value): lines in the order of files by name and of their place in the file, from 0 on.
+
+    Spark deals files in splits by size, so the order of rows is not that of the files. Within a split rows keep their
+    order; splits are numbered by file and start, a row each, and the lines before each are added up.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    so_far = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "start", "first", so_far(Window.orderBy("path", "start")).alias("before"), so_far(Window.partitionBy("path").orderBy("start")).alias("before_in_file"))
+    placed = rows.join(F.broadcast(splits), ["path", "start"])  # as many rows as splits
+    within = F.col("at") - F.col("first")
+    return placed.select((F.col("before") + within).alias("ord"), "path", (F.col("before_in_file") + within).alias("line"), "value")
+
+
 def read_works(spark: SparkSession, path: str) -> DataFrame:
     """Works of a JSON-lines file or folder, in the order of their lines.
 
     Blank lines are skipped. A line that isn't a work makes the action that reads it fail with its path and number.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("path"))
-    # Spark deals splits by size, so positions come from the file order that zipWithIndex keeps.
-    numbered = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].path, x[0].value)), "ord bigint, path string, value string")
     work = F.from_json("value", _BODY, {"mode": "PERMISSIVE"})
-    parsed = numbered.where(F.trim("value") != "").select("ord", "path", "value", work.alias("w"))
+    parsed = _numbered_lines(spark, path).where(F.trim("value") != "").select("ord", "path", "line", work.alias("w"))
     bad = F.col("w").isNull()
     for name in REQUIRED:
         bad = bad | F.col(f"w.{name}").isNull()
-    said = F.concat(F.col("path"), F.lit(":"), (F.col("ord") + 1).cast("string"), F.lit(": not a work"))
+    said = F.concat(F.col("path"), F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(": not a work"))
     checked = parsed.withColumn("w", F.when(bad, F.raise_error(said).cast(_BODY)).otherwise(F.col("w")))
     out = checked.select("ord", "w.*")
     return out.withColumn("topics", F.coalesce("topics", F.array().cast(WORKS["topics"].dataType))).select(*WORKS.fieldNames())
@@ -117,8 +129,6 @@ def number_rows(works: DataFrame) -> DataFrame:
 
     Only pages are numbered in one place, a row each; rows are numbered within their page.
     """
-    from pyspark.sql import Window
-
     within = F.row_number().over(Window.partitionBy("at.page").orderBy("at.pos")) - 1
     sizes = works.groupBy(F.col("at.page").alias("page")).count()
     before = sizes.select("page", F.coalesce(F.sum("count").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

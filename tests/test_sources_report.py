@@ -213,7 +213,7 @@ def test_cli(spark, tmp_path, capsys):
     assert len(out.splitlines()) == 8
     assert "no baseline" in err
     _, _, err = run(capsys, tmp_path, "verify", "--taxonomy", "topics", "--alias", "x=y")
-    assert "no abstract" in err and "fits no label" in err and "long phrases" in err
+    assert all(x in err for x in ("has an abstract", "fits no label", "long phrases"))
     _, _, err = run(capsys, tmp_path, "evidence", "--a", "Anode", "--b", "Nothing")
     assert "'Nothing' is not a label" in err
     code, _, err = run(capsys, tmp_path / "none", "stats")
