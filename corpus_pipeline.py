@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, decontam, pii, quality, simhash
 from lacuna.llm.common import table, written
 from lacuna.llm.queries import pattern, quality_model, tokenizer_path
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars`` of the texts as they are now; null where either is."""
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("bigint")))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; fitted on labels of the stage's own input."""
     return quality.keep_good(docs, quality_model(spark, docs, sf_dir))
@@ -21,12 +27,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut from the texts; documents that are mostly such passages go."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return measured(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
-    return pii.redact(docs)
+    return measured(pii.redact(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

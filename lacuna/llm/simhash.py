@@ -218,7 +218,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     per_id = classes.groupBy(id_col).agg(F.count("*").alias("_n"), F.max(F.col(id_col) == F.col("component_id")).alias("_kept_one"))
     kept = per_id.where("_kept_one").select(F.col(id_col).alias("_kept"), "_n")
     kept = written(kept, "kept")
-    one = docs.join(kept.where("_n = 1").select("_kept"), docs[id_col] == F.col("_kept"), "left_semi")
+    # The same plan at every size: ids and documents are dealt by id, and each task looks its documents up among its ids.
+    one = docs.join(kept.where("_n = 1").select("_kept").hint("shuffle_hash"), docs[id_col] == F.col("_kept"), "left_semi")
     many = kept.where("_n > 1")
     out = one.union(docs.where(F.col(id_col).isNull()))
     if many.isEmpty():
