@@ -71,3 +71,11 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in path:
         return pafs.LocalFileSystem(), path
     return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, longer by as many underscores as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import written
+from lacuna.llm.common import free_name, written
 
 WINDOW = 10
 #: Words of items in one automaton: some 300 bytes a word in a worker's memory.
@@ -301,9 +301,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     Texts that hold no window stay as they are; null stays null.
     """
     at, schema = docs.columns.index(text_col), docs.schema
-    hit = "_hit"
-    while hit in docs.columns:
-        hit += "_"
+    hit = free_name("_hit", docs.columns)
     wide = docs.withColumn(hit, F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).schema
 
     def mapper(sent, first, last):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import written
+from lacuna.llm.common import free_name, written
 from lacuna.llm.components import components, forest
 
 SEED = 42
@@ -215,19 +215,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows without an id can't be told apart and stay. Of rows with equal ids one stays.
     """
     classes = near_duplicates(docs, id_col, text_col, shingle, budget)
-    per_id = classes.groupBy(id_col).agg(F.count("*").alias("_n"), F.max(F.col(id_col) == F.col("component_id")).alias("_kept_one"))
-    kept = per_id.where("_kept_one").select(F.col(id_col).alias("_kept"), "_n")
-    kept = written(kept, "kept")
+    key = free_name("_kept", docs.columns)
+    per_id = classes.groupBy(id_col).agg(F.count("*").alias("n"), F.max(F.col(id_col) == F.col("component_id")).alias("stays"))
+    kept = written(per_id.where("stays").select(F.col(id_col).alias(key), F.col("n").alias("n")), "kept")
     # The same plan at every size: ids and documents are dealt by id, and each task looks its documents up among its ids.
-    one = docs.join(kept.where("_n = 1").select("_kept").hint("shuffle_hash"), docs[id_col] == F.col("_kept"), "left_semi")
-    many = kept.where("_n > 1")
-    out = one.union(docs.where(F.col(id_col).isNull()))
+    out = docs.join(kept.where("n = 1").select(key).hint("shuffle_hash"), docs[id_col] == F.col(key), "left_semi")
+    out = out.union(docs.where(F.col(id_col).isNull()))
+    many = kept.where("n > 1").select(key)
     if many.isEmpty():
         return out
     # Rows that share an id: the first by text.
-    shared = docs.join(many.select("_kept"), docs[id_col] == F.col("_kept"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in shared.columns])
-    return out.union(shared.groupBy(id_col).agg(F.min(row).alias("_row")).select("_row.*"))
+    shared = docs.join(many, docs[id_col] == F.col(key), "left_semi")
+    row = F.struct(F.col(text_col).alias("_first"), *[F.col(f"`{c}`") for c in docs.columns])
+    first = shared.groupBy(F.col(id_col).alias(key)).agg(F.min(row).alias("row"))
+    return out.union(first.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

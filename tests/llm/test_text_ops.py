@@ -26,7 +26,7 @@ def clashing(df):
     """With columns that an operator might use itself."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "score", "spans", "_id", "_text", "block", "ids", "part", "fp", "_hit", "component_id"):
+    for name in ("id", "score", "spans", "_id", "_text", "block", "ids", "part", "fp", "_hit", "component_id", "_kept", "n", "row", "_first", "key", "vec", "first", "host", "path", "upper", "mean", "headers", "payload"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
