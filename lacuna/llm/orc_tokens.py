@@ -15,6 +15,7 @@ keep the order of the input; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import open_fs
 
 #: Words remembered with their ids in a worker, at most.
-MEMO = 800_000
+MEMO = 1_200_000
 #: Rows of a row group; Bloom filters and row indexes are kept per row group.
 STRIDE = 1_000
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
@@ -86,47 +87,47 @@ class WordEncoder:
     def _any(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each distinct word."""
-        known, parts, rest = self.memo, [], []
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of each distinct word."""
+        memo, parts, rest = self.memo, [], []
         wanted = {w for w in words if w.isalpha()}  # letters of ASCII
         others = set()
         for w in words - wanted:
             core = w.rstrip(_MARKS)
             if core.isalpha():
                 parts.append((w, core, w[len(core) :]))
-                if core not in known:
+                if core not in memo:
                     wanted.add(core)
             elif m := _SPLIT.match(s := w.decode("utf-8", "surrogatepass")):
                 core = m[1].lower().encode()
                 parts.append((w, core, (m[2] or "").encode()))
-                if core not in known:
+                if core not in memo:
                     others.add(core)
             else:
                 rest.append((w, s))
-        out = {}
         for some in (wanted, others):
             if some:
                 core = sorted(some)
                 # Upper case is left only in texts with combining marks.
-                out.update(zip(core, self._plain([w.lower() for w in core]), strict=True))
-        tail = list({t for _, _, t in parts if t not in known})
-        out.update(zip(tail, self._any([t.decode() for t in tail]), strict=True))
+                memo.update(zip(core, self._plain([w.lower() for w in core]), strict=True))
+        tail = list({t for _, _, t in parts if t not in memo and t})
+        memo.update(zip(tail, self._any([t.decode() for t in tail]), strict=True))
         for w, core, t in parts:
-            out[w] = (out.get(core) or known[core]) + (out.get(t) or known[t] if t else b"")
-        out.update(zip((w for w, _ in rest), self._any([s for _, s in rest]), strict=True))
-        return out
+            memo[w] = memo[core] + memo[t] if t else memo[core]
+        memo.update(zip((w for w, _ in rest), self._any([s for _, s in rest]), strict=True))
 
     def _part(self, raw: bytes) -> np.ndarray:
         """Ids of normal text; ``_END`` gives -1."""
         words = raw.split()
+        if len(self.memo) > MEMO:
+            self.memo = {_END: _MARK}
         found = list(map(self.memo.get, words))
-        if None in found:
-            new = self._ids({w for w, v in zip(words, found, strict=True) if v is None})
-            found = [v if v is not None else new[w] for w, v in zip(words, found, strict=True)]
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {_END: _MARK}
-            self.memo.update(new)
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            self._learn({words[i] for i in missing})
+            memo = self.memo
+            for i in missing:
+                found[i] = memo[words[i]]
         return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """(doc_id, part, local_start, n_tokens, ids) of whole texts; ``local_start`` counts within the partition ``part``."""
     def run(batches):
         enc, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        gc.disable()  # nothing here makes cycles, and there are millions of small objects to look through
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
@@ -180,6 +182,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 at += int(n.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
+        gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n_tokens bigint, ids array<int>")
