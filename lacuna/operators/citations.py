@@ -34,32 +34,27 @@ def in_degree(works: DataFrame) -> DataFrame:
     return nodes(works).select("id").join(cited, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("in_corpus_citations"))
 
 
-def pagerank(ids: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, together: int = 4) -> DataFrame:
+def pagerank(ids: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
     """(id, pagerank) of all ``ids`` (id) over distinct ``edges`` (src, dst).
 
     The rank of ids without edges out is spread over all. Ends once the ranks move by less than ``tolerance`` in
-    all, or after ``most`` rounds. ``together`` rounds are planned as one job: each is a join with the ranks, one
-    aggregation by target, and the sum of what leads nowhere as a one-row broadcast; the ranks are then
-    checkpointed and the movement of the last round is read. More rounds than needed only bring ranks closer.
+    all, or after ``most`` rounds. A round is a join of the edges with the ranks, one aggregation by target, and a
+    checkpoint, without which plans would double from round to round; then one small action reads how far ranks moved
+    and what leads nowhere. Edges are dealt by source once and stay so.
     """
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("pagerank")).limit(0)
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
-    # Everything stays dealt by id: edges by source, ranks by id.
-    weighted = cut(edges.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out")).alias("w")))
-    ranks = cut(ids.join(degree, "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved")))
-    done = 0
-    while done < most:
-        for _ in range(min(together, most - done)):
-            lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")))
-            given = ranks.select(F.col("id").alias("src"), "rank").join(weighted, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("given"))
-            now = F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)
-            ranks = ranks.join(given, "id", "left").crossJoin(lost).select("id", "dangling", now.alias("next"), "rank")
-            ranks = ranks.select("id", "dangling", F.col("next").alias("rank"), F.abs(F.col("next") - F.col("rank")).alias("moved"))
-            done += 1
-        ranks = cut(ranks)
-        if ranks.agg(F.sum("moved")).first()[0] < tolerance:
+    weighted = cut(edges.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out")).alias("w")).repartition("src"))
+    ranks = cut(ids.join(degree, "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.where("dangling").count() / n
+    for _ in range(most):
+        given = ranks.select(F.col("id").alias("src"), "rank").join(weighted, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("given"))
+        now = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("given", F.lit(0.0))
+        ranks = cut(ranks.join(given, "id", "left").select("id", "dangling", now.alias("rank"), F.abs(now - F.col("rank")).alias("moved")))
+        moved, lost = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        if moved < tolerance:
             break
     return ranks.select("id", F.col("rank").alias("pagerank"))
 
