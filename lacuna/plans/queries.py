@@ -28,6 +28,8 @@ from lacuna.sources.schema import ID_PREFIX, PAGE, WORKS
 #: Brand and type of parts, any level; the names of parts; words of documents.
 BRANDS, NAMES, WORDS = LabelFilter(CONCEPTS, 0, 0.4), LabelFilter(TOPICS), LabelFilter(CONCEPTS, 2, 0.4)
 SPLIT, TOP = 1998, 20
+#: As many as the reference draws; p below 0.05 takes 20 at least.
+PERMUTATIONS = 200
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -331,12 +333,12 @@ def gap_precision_at_k(spark, d):
 
 @query
 def evaluate_co_tagged(spark, d):
-    return evaluate(replay(spark, d), "co_tagged", TOP, permutations=8)
+    return evaluate(replay(spark, d), "co_tagged", TOP, permutations=PERMUTATIONS)
 
 
 @query
 def evaluate_above_chance(spark, d):
-    return evaluate(replay(spark, d), "above_chance", TOP, permutations=0)
+    return evaluate(replay(spark, d), "above_chance", TOP, permutations=PERMUTATIONS)
 
 
 @query
@@ -373,7 +375,7 @@ def corpus_diff(spark, d):
 @query
 def wins(spark, d):
     """Which scorers differ from the reference by the paired test."""
-    return derived.wins(evaluate(replay(spark, d), "co_tagged", TOP, permutations=8))
+    return derived.wins(evaluate(replay(spark, d), "co_tagged", TOP, permutations=PERMUTATIONS))
 
 
 def queries() -> dict[str, Query]:

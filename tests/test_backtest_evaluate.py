@@ -178,3 +178,25 @@ def test_pseudo_random():
 def test_split_year(spark):
     w = frame(spark, [work(i, year=y) for i, y in enumerate([2000, 2001, 2001, 2002, None])])
     assert bt.split_year(w).first()["year"] == 2001
+
+
+def test_registered_permutations_can_give_a_win_and_a_loss(spark, monkeypatch):
+    from lacuna.operators.evaluate import EVALUATION
+    from lacuna.plans import queries as plans
+
+    asked = []
+
+    def planted(result, positive, top, permutations):
+        """One scorer far below the reference, one far above, one like it; their nulls are of the permutations asked for."""
+        asked.append(permutations)
+        null = [(-1) ** i * 0.01 for i in range(permutations)]
+        rows = [("lift", None, None, 0.7)] + [(s, d, empirical_p(d, null), 0.7 - d) for s, d in (("jaccard", 0.3), ("adamic_adar", -0.3), ("random", 0.005))]
+        return spark.createDataFrame([(s, 9, 4, 0.4, 0.7, strat, 0.5, 0.2, d, 0.0 if d else None, p, permutations, 2, 0.5, 0.5) for s, d, p, strat in rows], EVALUATION)
+
+    monkeypatch.setattr(plans, "replay", lambda *a: None)
+    monkeypatch.setattr(plans, "evaluate", planted)
+    got = {r["scorer"]: r["outcome"] for r in plans.queries()["wins"](spark, "").collect()}
+    assert got == {"jaccard": "win", "adamic_adar": "loss", "random": "tie"}
+    for name in ("evaluate_co_tagged", "evaluate_above_chance"):
+        plans.queries()[name](spark, "")
+    assert asked == [200, 200, 200]
