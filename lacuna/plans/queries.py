@@ -354,13 +354,13 @@ def poisson_expected_zeros(spark, d):
 @query
 def spearman_tag_vs_text(spark, d):
     works, graph = word_graph(spark, d)
-    return rounded(derived.rank_correlation(verify_gaps(works, graph, 5, 200).withColumn("tag_lift", F.col("tag_observed") / F.col("expected")), "tag_lift", "text_lift"), "rho")
+    return rounded(derived.rank_correlation(verify_gaps(works, graph, 5, None).withColumn("tag_lift", F.col("tag_observed") / F.col("expected")), "tag_lift", "text_lift"), "rho")
 
 
 @query
 def verify_by_bucket(spark, d):
     works, graph = word_graph(spark, d)
-    return derived.verdicts_by_lift(verify_gaps(works, graph, 5, 200))
+    return derived.verdicts_by_lift(verify_gaps(works, graph, 5, None))
 
 
 @query
