@@ -147,13 +147,22 @@ def tokens(page: str) -> list[tuple[str, int, str]]:
 
 
 def region(page_tokens: list[tuple[str, int, str]], weights: dict[str, float]) -> tuple[int, int]:
-    """The tokens (start, end) with the largest sum of weights, by one scan."""
+    """The tokens (start, end) with the largest sum of weights, by one scan.
+
+    An element beside the article costs one weight however long it is: what it holds is left out later, and the
+    article goes on after it.
+    """
     get = weights.get
     best, best_at, now, start = 0.0, (0, 0), 0.0, 0
+    beside = 0  # elements beside the article that are open
     for i, (kind, words, _) in enumerate(page_tokens):
-        w = get(kind)
-        if w is None:
-            w = weights["aside"] if kind.endswith(" aside") else weights["word" if kind[0] == "w" else "tag"]
+        if kind.endswith(" aside"):
+            w = weights["aside"] if kind[0] == "<" and kind[1] != "/" and not beside else 0.0
+            beside += 0 if kind[0] == "w" else -1 if kind[1] == "/" else 1
+        else:
+            w = get(kind)
+            if w is None:
+                w = weights["word" if kind[0] == "w" else "tag"]
         if now <= 0 and (words or kind[0] == "<"):
             now, start = 0.0, i
         now += w * (words if kind[0] == "w" else 1)

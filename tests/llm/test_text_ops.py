@@ -323,3 +323,14 @@ def test_region_is_the_best_sum():
         best = max([0.0, *(sum(map(value, toks[a:b])) for a in range(len(toks)) for b in range(a + 1, len(toks) + 1))])
         a, b = html_text.region(toks, w)
         assert sum(map(value, toks[a:b])) == pytest.approx(best)
+
+
+def said(head, n):
+    return " ".join(f"{head}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("beside", ["<div class=related><p>{}</p></div>", "<aside><div><div>{}</div></div></aside>", "<section id=newsletter><ul><li>{}</li></ul></section>"])
+@pytest.mark.parametrize(("lead", "tail"), [(20, 300), (300, 5)])
+def test_html_long_asides_do_not_split_the_article(beside, lead, tail):
+    page = f"<article><h1>Head</h1><p>{said('lead', lead)}</p>{beside.format(said('beside', 900))}<p>{said('tail', tail)}</p></article>"
+    assert html_text.text_of(page, WEIGHTS) == f"Head\n{said('lead', lead)}\n{said('tail', tail)}"
