@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence of tokens.
 
-A page is a sequence of words and tags. Each token has a weight: words count for content and tags against it, as
-learned from labelled pages: the log-odds of a kind of token between labelled regions and the rest of the pages. The
+A page is a sequence of words and tags. Each token has a weight: words count for content and tags against it, within
+bounds as learned from labelled pages: the log-odds of a kind of token between labelled regions and the rest of the pages. The
 kind of a word is the element it stands in, and whether that element or one around it is marked as something beside
 the article. One linear scan finds the contiguous region with the largest sum, from the start of a block to the end
 of one. Within the region, elements that are never part of an article (menus, headers, footers, sidebars, notices,
@@ -224,16 +224,13 @@ def fit(labelled: list[tuple[str, str, str]]) -> dict[str, float]:
     total = lambda c, head: sum(n for k, n in c.items() if k.startswith(head) and not k.endswith(" aside"))
     word = odds(total(inside, "word"), total(outside, "word"))
     weights |= {"word": max(0.5, word), "tag": min(-0.25, -abs(odds(total(inside, "<"), total(outside, "<"))) / 4), "aside": -1.0}
+    # Words count for an article and tags against it, those of its own paragraphs too; a tag no more than an element
+    # beside the article, so that a list of links within it does not outweigh what stands around.
     for k, w in weights.items():
-        # An article's own words are for it, and its tags are no more against it than a word is for it.
-        if k.endswith(" aside"):
-            weights[k] = min(w, -0.25)
+        if k.startswith("<"):
+            weights[k] = max(-1.0, min(w, -0.25))
         elif k.startswith("word in"):
-            weights[k] = w
-    # Elements beside the article within it cost little: they are left out later, and the article goes on after them.
-    for k in list(weights):
-        if k.endswith(" aside") and k.startswith("<"):
-            weights[k] = max(weights[k], -1.0)
+            weights[k] = max(w, 0.25)
     return weights
 
 
@@ -254,6 +251,11 @@ LABELLED = [
         "<h1>How bees find home</h1><p>A bee that has lost its hive flies in widening loops until it sees a mark that it knows.</p><p>It learns such marks on its first flights.<p>Old bees fly straight, by <em>the sun</em> and by the sky's light.<h3>Trials</h3><p>Hives were moved by night, and most bees came back by noon.</p><ol><li>Moved one mile: all came back.</li><li>Moved ten miles: few did.</li></ol>",
         '</section></main><aside><h2>Popular</h2><ul><li><a href="/p">Ants at work</a></li></ul></aside><div class="related"><p>You may also like wasps.</p></div><form><label>Your mail</label><input></form><footer><small>All rights reserved</small></footer></body></html>',
     ),
+    (
+        '<html><body><div class="top-links"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/w">World</a></li><li><a href="/s">Science</a></li><li><a href="/c">Culture</a></li></ul></div><div class="page"><div class="tags"><a href="/t1">Rivers</a> <a href="/t2">Salt marsh</a> <a href="/t3">Tides</a></div><div class="text">',
+        "<h1>Why the marsh floods</h1><p>Twice a month the sun and the moon pull along one line, and the water comes over the lower bank.</p><p>What it leaves there is <a href='/silt'>silt</a>, and the marsh grows by a finger's breadth a year.</p>",
+        '</div></div><div class="more"><ul><li><a href="/m1">Older post</a></li><li><a href="/m2">Newer post</a></li><li><a href="/m3">All posts</a></li></ul></div><div class="bottom"><a href="/i">Imprint</a> <a href="/k">Contact</a> <a href="/d">Data</a> <a href="/h">Help</a></div></body></html>',
+    ),
 ]
 
 

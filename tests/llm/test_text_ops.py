@@ -334,3 +334,12 @@ def said(head, n):
 def test_html_long_asides_do_not_split_the_article(beside, lead, tail):
     page = f"<article><h1>Head</h1><p>{said('lead', lead)}</p>{beside.format(said('beside', 900))}<p>{said('tail', tail)}</p></article>"
     assert html_text.text_of(page, WEIGHTS) == f"Head\n{said('lead', lead)}\n{said('tail', tail)}"
+
+
+@pytest.mark.parametrize("box", ["<div class='{}'><ul>{}</ul></div>", "<div class='{}'><div>{}</div></div>"])
+def test_html_unmarked_links_are_not_the_article(box):
+    links = lambda head: "".join(f"<li><a href=/{i}>{head} {i}</a></li>" for i in range(12))
+    page = f"<body>{box.format('top-links', links('Go'))}<div><h1>Head</h1><p>{said('body', 40)} <a href=x>a link</a> {said('more', 9)}</p></div>{box.format('bottom', links('Foot'))}</body>"
+    assert html_text.text_of(page, WEIGHTS) == f"Head\n{said('body', 40)} a link {said('more', 9)}"
+    assert all(w < 0 for k, w in WEIGHTS.items() if k[0] == "<" or k == "tag")
+    assert all(w > 0 for k, w in WEIGHTS.items() if k.startswith("word") and not k.endswith(" aside"))
