@@ -1,9 +1,9 @@
 """Embedding near-duplicates by iterative quantisation, multi-index Hamming tables and a rerank by original vectors.
 
 A rotation is learned on at most ``MAX_FIT`` vectors so that the signs of the rotated principal components are
-balanced binary codes. Codes are cut into substrings, each the key of a table; vectors with equal keys meet. In a
-bucket, pairs whose codes differ in more than ``MAX_BITS`` bits are left, each other pair is taken in the first table
-where it meets only, and its cosine is computed from the original vectors in double precision. Every row is indexed.
+balanced binary codes. Codes are cut into substrings, each the key of a table; vectors with equal keys meet, by the
+same tables however many rows there are. In a bucket, each pair is taken in the first table where it meets only, and
+its cosine is computed from the original vectors in double precision. Every row is indexed.
 
 Equal vectors become one row first. A bucket with more than ``BUCKET_ROWS`` rows is split, and each pair of its parts
 is a task's work, so no row and no pair is dropped and no key is bound to one task. A task gives counts of links and
@@ -27,8 +27,8 @@ from lacuna.llm.components import components, forest
 MAX_FIT = 10_000
 ROUNDS = 40
 BITS = 64
-#: Codes that differ in more bits are not reranked: six standard deviations above the mean at the least cosine, 0.98.
-MAX_BITS = 18
+#: Cosines by a matrix product may differ from those that decide by so much.
+_SLACK = 1e-9
 BUCKET_ROWS = 2_048
 
 
@@ -57,8 +57,9 @@ def codes_of(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def plan_tables(rows: int) -> tuple[int, int]:
-    """(bits of a substring, differing bits it may have) for so many rows of a label and length."""
-    return (16, 1) if rows > 1 << 20 else (8, 0)
+    """(bits of a substring, differing bits it may have): the same for any number of rows, so that two vectors link in
+    every table or in none that has the same rotation."""
+    return 8, 0
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -77,14 +78,13 @@ def _bucket_links(codes, vectors, mult, rows_a, rows_b, table, width, radius, th
     step = max(1, 2_000_000 // max(1, len(rows_b)))
     for at in range(0, len(rows_a), step):
         a = rows_a[at : at + step]
-        diff = codes[a][:, None] ^ codes[rows_b][None, :]
-        near = np.bitwise_count(diff) <= MAX_BITS
+        near = vectors[a] @ vectors[rows_b].T >= threshold - _SLACK
         if rows_a is rows_b:
             near &= (np.arange(at, at + len(a))[:, None]) < np.arange(len(rows_b))[None, :]
         i, j = np.nonzero(near)
         if not len(i):
             continue
-        d = diff[i, j]
+        d = codes[a[i]] ^ codes[rows_b[j]]
         mask = np.uint64((1 << width) - 1)
         fresh = np.ones(len(i), bool)
         for t in range(table):  # met before in an earlier table

@@ -185,6 +185,18 @@ def test_itq_with_probing_finds_the_same(spark, monkeypatch):
         assert sorted(itq.near_duplicates(df, bucket_rows=bucket_rows).collect()) == sorted(one)
 
 
+def test_itq_search_is_the_same_at_every_size_and_leaves_no_pair_that_meets(spark):
+    assert len({itq.plan_tables(n) for n in (1, 1 << 20, (1 << 20) + 1, 1 << 40)}) == 1
+    # All near one direction, so codes of vectors with cosines above the threshold differ in many bits.
+    x = np.random.default_rng(5).standard_normal((300, 64)) + 20
+    found = sum(r["n_links"] for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))], VEC)).collect()) / 2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    keys = itq.codes_of(unit, itq.fit(unit)).view(np.uint8).reshape(-1, 8)
+    meet = (keys[:, None] == keys[None]).any(2) & (unit @ unit.T >= 0.98)
+    want = (meet.sum() - len(x)) / 2
+    assert want > 1000 and found == pytest.approx(want, rel=0.1)
+
+
 def test_itq_recall_and_edges(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     found = sum(r["n_links"] for r in Q.op4_itq(spark, sf).collect()) / 2
