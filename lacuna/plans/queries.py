@@ -61,11 +61,11 @@ def normalize_ids(spark, d):
 
 @query
 def dedup_works(spark, d):
-    """Orders of one customer and year under one id: the first of each stays, of those within the limit."""
+    """Orders of one customer and year under one id: the first of each stays."""
     o = read(spark, d, "orders")
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in WORKS.fields}
     rows = o.select(F.col("o_orderkey").cast("bigint").alias("ord"), F.concat_ws("-", F.lit("C"), F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")).alias("id"), *[none[f] for f in WORKS.fieldNames()[2:]])
-    return truncate_dedup(rows, 10_000).select("ord", "id")
+    return truncate_dedup(rows, None).select("ord", "id")
 
 
 @query
@@ -99,7 +99,7 @@ def api_pages(spark, d):
     )
     lists = o.groupBy(F.expr("cast(o_orderkey div 200 as int)").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), result.alias("r"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["r"]).alias("results"))  # a page
     bodies = lists.select("page", F.from_json(F.to_json(F.struct("results")), PAGE).alias("b")).select("page", "b.*")
-    works = truncate_dedup(number_rows(normalise_pages(bodies)), 5000)
+    works = truncate_dedup(number_rows(normalise_pages(bodies)), None)
     return works.select("ord", "id", "title", "year", "cited_by_count", F.element_at("referenced_works", 1).alias("ref"), F.size("concepts").cast("bigint").alias("n_concepts"), "abstract")
 
 

@@ -136,9 +136,9 @@ def number_rows(works: DataFrame) -> DataFrame:
     return rows.withColumn("ord", (F.col("before") + F.col("within")).cast("bigint")).select(*WORKS.fieldNames())
 
 
-def truncate_dedup(works: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` works, and of those the first of each id."""
-    cut = works.where(F.col("ord") < limit)
+def truncate_dedup(works: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` works, all if it is None, and of those the first of each id."""
+    cut = works if limit is None else works.where(F.col("ord") < limit)
     row = F.struct(*[F.col(c) for c in WORKS.fieldNames()])
     return cut.groupBy("id").agg(F.min_by(row, "ord").alias("w")).select("w.*")
 

@@ -221,3 +221,18 @@ def test_cli(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["gaps", "--min-score", "2"])
     assert e.value.code == 2
+
+
+def test_registered_pages_and_dedup_take_every_row(spark, tmp_path):
+    from lacuna.plans import queries as plans
+    from lacuna.sources.corpus import truncate_dedup
+
+    n = 12_000
+    spark.range(n).selectExpr("id as o_orderkey", "id % 7000 as o_custkey", "date'2020-01-01' as o_orderdate", "1.5 as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    pages = plans.queries()["api_pages"](spark, str(tmp_path)).selectExpr("count(*) as n", "max(ord) as last").first()
+    assert tuple(pages) == (n - n // 10, n - n // 10 - 1)
+    assert sorted(r["ord"] for r in plans.queries()["dedup_works"](spark, str(tmp_path)).collect()) == list(range(7000))
+    # A limit comes before the de-duplication.
+    w = frame(spark, [work(0, "a"), work(1, "a"), work(2, "b"), work(3, "c")])
+    assert sorted(r["id"] for r in truncate_dedup(w, 3).collect()) == ["a", "b"]
+    assert sorted(r["id"] for r in truncate_dedup(w, None).collect()) == ["a", "b", "c"]
