@@ -282,7 +282,7 @@ def test_html_queries(spark, sf):
         assert r["n_chars"] == len(want)
 
 
-WEIGHTS = html_text.fit(html_text.LABELLED)
+WEIGHTS = html_text.fit(html_text.labelled_pages())
 
 
 @pytest.mark.parametrize(
@@ -297,7 +297,7 @@ WEIGHTS = html_text.fit(html_text.LABELLED)
         ("<main><p>first para of text</p><form><input><button>Send</button></form><p>second para of text</p></main><section id='comments'><p>nice post</p></section>", "first para of text\nsecond para of text"),
         ("<div class='sidebar'><a href=x>l</a></div><div><p>body text is here<p>and here</div><footer>foot</footer>", "body text is here\nand here"),
         ("<p>a<br>b <b>c</b>d</p><!-- <p>no</p> --><p>e", "a b cd\ne"),
-        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx\ny"),
+        ("<ul><li>one and two<li>two or three</ul><table><tr><td>x to y<td>y to z<tr><td>more of it<td>and the rest</table>", "one and two\ntwo or three\nx to y\ny to z\nmore of it\nand the rest"),
         ("<p>cut off <a href='", "cut off"),
     ],
 )
@@ -317,8 +317,8 @@ def test_html_edges(spark):
 def test_region_is_the_best_sum():
     rnd = random.Random(2)
     for _ in range(200):
-        toks = [("word in p" if rnd.random() < 0.5 else "<x>", rnd.randint(1, 4), "w") for _ in range(rnd.randint(1, 12))]
-        w = {"word in p": 1.0, "<x>": -2.0, "word": 1.0, "tag": -2.0, "aside": -1.0}
+        toks = [("word" if rnd.random() < 0.5 else "<x>", rnd.randint(1, 4), "w") for _ in range(rnd.randint(1, 12))]
+        w = {"word": 1.0, "<x>": -2.0}
         value = lambda t: w[t[0]] * (t[1] if t[0][0] == "w" else 1)
         best = max([0.0, *(sum(map(value, toks[a:b])) for a in range(len(toks)) for b in range(a + 1, len(toks) + 1))])
         a, b = html_text.region(toks, w)
@@ -341,5 +341,37 @@ def test_html_unmarked_links_are_not_the_article(box):
     links = lambda head: "".join(f"<li><a href=/{i}>{head} {i}</a></li>" for i in range(12))
     page = f"<body>{box.format('top-links', links('Go'))}<div><h1>Head</h1><p>{said('body', 40)} <a href=x>a link</a> {said('more', 9)}</p></div>{box.format('bottom', links('Foot'))}</body>"
     assert html_text.text_of(page, WEIGHTS) == f"Head\n{said('body', 40)} a link {said('more', 9)}"
-    assert all(w < 0 for k, w in WEIGHTS.items() if k[0] == "<" or k == "tag")
-    assert all(w > 0 for k, w in WEIGHTS.items() if k.startswith("word") and not k.endswith(" aside"))
+
+
+def test_html_words_score_positive_and_tags_negative():
+    assert WEIGHTS["word"] > 0 and WEIGHTS["beside"] < 0
+    assert all(w < 0 for k, w in WEIGHTS.items() if k[0] == "<" and k != html_text.END_TAG)
+
+
+def test_html_the_scan_decides(spark, sf, monkeypatch):
+    """Without the scan, or with weights that say nothing, the article is not found: on the test pages, nor where nothing is marked."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    links = "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(9))
+    pages.append(f"<div><ul>{links}</ul></div><div><h1>Head</h1><p>{said('body', 30)}</p></div><div><div>{links}</div></div>")
+    right = [html_text.text_of(p, WEIGHTS) for p in pages]
+    assert right[-1] == f"Head\n{said('body', 30)}"
+    even = {k: float(k[0] != "<") for k in WEIGHTS}
+    assert all(html_text.text_of(p, even) != t for p, t in zip(pages, right, strict=True))
+    monkeypatch.setattr(html_text, "region", lambda tokens, _: (0, len(tokens)))
+    assert all(html_text.text_of(p, WEIGHTS) != t for p, t in zip(pages, right, strict=True))
+
+
+@pytest.mark.parametrize("page", ["<b>{0}</b>", "{1}{2}", "<i><div>{1}{3}", "<table>{4}", "{5}>"])
+def test_html_deep_pages_take_linear_time(page):
+    import time
+
+    def took(n):
+        text = page.format("x", "<b>" * n, "<p>x" * n, "</i>" * n, "<tr><td>x" * n, "<é" * n)
+        best = 9.0
+        for _ in range(2):
+            at = time.perf_counter()
+            html_text.text_of(text, WEIGHTS)
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    assert took(64_000) < max(0.2, 20 * took(8_000))  # 64 times if it were quadratic
