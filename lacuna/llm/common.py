@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import atexit
 import itertools
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.session import cut, shared_dir  # noqa: F401  cut: for the operators
 
 _COUNT = itertools.count()
+#: Keys that hold more than one in so many rows are hot; there are never more of them than this.
+HOT_KEYS = 1_000
+#: Rows of a listing of keys that is broadcast, at most; a longer one is joined by a shuffle.
+LISTED_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,25 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, and only on a local master, a temporary folder is taken and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="lacuna-")
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{next(_COUNT)}-{uuid.uuid4().hex[:12]}"
@@ -79,3 +66,32 @@ def free_name(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, a written table of one row per key and ``count``, how many rows have it.
+
+    A key may hold any share of the rows. Those that hold more than one in ``HOT_KEYS`` are at most ``HOT_KEYS``, so
+    they are broadcast, whatever the size of the tables, and their rows stay where they are; all others are joined by
+    a shuffle, in which no key is hot. Rows whose key is null have no match (``how``: "inner" drops them, "left" not).
+    """
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_hot = F.col(count) * HOT_KEYS > total
+    hot, rest = keyed.where(is_hot).drop(count), keyed.where(~is_hot).drop(count)
+    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key, how))
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
+def join_listed(rows: DataFrame, listed: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """``rows`` with the other columns of ``listed``, null where it has no such keys; ``count`` says how many of the
+    ``total`` rows (by default, of those that are listed) have them. Few keys are expected to be listed; their number is checked before they are broadcast."""
+    listed = cut(listed)
+    if listed.count() <= LISTED_ROWS:
+        return rows.join(F.broadcast(listed.drop(count)), keys, "left")
+    as_key = F.struct(*keys)
+    met = join_counted(rows.withColumn("_key", as_key), listed.withColumn("_key", as_key).drop(*keys), "_key", count, "left", total)
+    return met.drop("_key")

@@ -142,12 +142,12 @@ FROM dw LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 
 def _op10_sql() -> str:
     """Rules and reputations; each level's prior has the mean of the level above."""
-    two = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
     last2 = "array_to_string(string_split(host, '.')[-2:], '.')"
     last3 = "array_to_string(string_split(host, '.')[-3:], '.')"
     last1 = "string_split(host, '.')[-1]"
-    domain = f"CASE WHEN {last2} IN ({two}) THEN {last3} ELSE {last2} END"
-    suffix = f"CASE WHEN {last2} IN ({two}) THEN {last2} ELSE {last1} END"
+    address, two = f"regexp_matches(host, '{urls._ADDRESS}')", f"regexp_full_match({last2}, '({'|'.join(urls.SECOND_LEVEL)})\\.[a-z][a-z]')"
+    domain = f"CASE WHEN {address} THEN host WHEN {two} THEN {last3} ELSE {last2} END"
+    suffix = f"CASE WHEN {address} THEN host WHEN {two} THEN {last2} ELSE {last1} END"
     levels = ""
     for key, up in (("all_", None), ("suffix", "all_"), ("domain", "suffix"), ("host", "domain")):
         mean = f"coalesce((SELECT mean FROM p_{up} q WHERE q.key = o.{up}), 0.5)" if up else "0.5"
