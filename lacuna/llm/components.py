@@ -1,7 +1,8 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Every step is a minimum per node (with partial aggregation) and a join; no list of neighbours is ever gathered.
-Each round's edges are checkpointed to the shared folder, so executors may be lost at any time.
+Every step is a minimum per node (with partial aggregation) and a join; no list of neighbours is ever gathered. The
+edges of a node that has more than its share of them all are not dealt by it, so the middle of a large star is no
+task's lot. Each round's edges are checkpointed to the shared folder, so executors may be lost at any time.
 
 ``forest`` is for inside a task: it joins what numpy arrays of pairs link, and keeps no pair.
 """
@@ -12,15 +13,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import cut, join_counted
 
-def _round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (u, v) with u > v."""
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the least neighbour v of each u, and how many there are."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+#: So few edges are no burden to a task, whichever node has them.
+PLAIN_EDGES = 100_000
+
+
+def _joined(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
+    return edges.join(least.drop("n"), "u") if size <= PLAIN_EDGES else join_counted(edges, least, "u", "n", total=size)
+
+
+def _round(edges: DataFrame, size: int) -> DataFrame:
+    """One large-star and one small-star step over ``size`` edges (u, v) with u > v."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(least).distinct()
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    large = _joined(both, least, 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(large)
+    small = _joined(large, least, size).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.union(least.select("u", "m")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,10 +45,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (u, v): ``root`` is the least node of its component, itself a row too."""
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct().checkpoint()
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     last, state = None, _state(edges)
     while state != last:
-        edges = _round(edges).checkpoint()
+        edges = cut(_round(edges, state[0]))
         last, state = state, _state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 

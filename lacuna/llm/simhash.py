@@ -11,6 +11,8 @@ linked; components over these are those over all links.
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; a
 text of fewer words than a shingle is one shingle; repeated shingles count each time; repeated rows each give a row;
 a null id never names a component if another id is in it; an empty table gives an empty result.
+
+A fingerprint may be that of any share of the documents: the few that hold many of them are not dealt by it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import free_name, written
+from lacuna.llm.common import cut, free_name, join_counted, join_listed, written
 from lacuna.llm.components import components, forest
 
 SEED = 42
@@ -54,14 +56,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The id and ``fp``, the fingerprint as a signed 64-bit integer, of each row."""
+    """The id, ``hash`` of the text and ``fp``, the fingerprint, as signed 64-bit integers, of each row."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["id", "hash", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, hash bigint, fp bigint")
 
 
 def trie_pairs(codes: np.ndarray, nodes: list[tuple[int, int, int, int]], budget: int, level: int, found) -> None:
@@ -161,10 +164,10 @@ def _links(distinct: DataFrame, budget: int, node_rows: int) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links."""
     blocks = F.array(*[F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned("fp", 48 - 16 * t).bitwiseAND(0xFFFF).alias("block")) for t in range(4)])
     rows = distinct.select("fp", F.explode(blocks).alias("x")).select("x.turn", "x.block", "fp")
-    # Only nodes that are too large are listed, at most 4 rows for every node_rows fingerprints.
-    large = rows.groupBy("turn", "block").count().where(F.col("count") > node_rows).select("turn", "block", F.ceil(F.col("count") / node_rows).cast("int").alias("parts"))
+    large = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).withColumn("parts", F.ceil(F.col("n") / node_rows).cast("int"))
     parts = F.coalesce("parts", F.lit(1))
-    rows = rows.join(F.broadcast(large), ["turn", "block"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    rows = join_listed(rows, large, ["turn", "block"], "n", 4 * distinct.count())
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     rows = rows.select("turn", "block", "part", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     rows = rows.select("turn", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp")
 
@@ -194,41 +197,53 @@ def _links(distinct: DataFrame, budget: int, node_rows: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(id, fp, component_id) of each row: the smallest id that links reach from it, itself included."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, fp) of each row, and (fp, n, first, least) of each fingerprint, both written.
+
+    ``n`` rows have the fingerprint; ``first`` (without, id, hash) is the least of them, and ``least`` that of the
+    component; rows without an id come last.
+    """
     if not 0 <= budget <= 3:
         raise ValueError("four blocks find at most 3 differing bits")
-    marked = written(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", shingle), "fingerprints")
-    groups = marked.groupBy("fp").agg(F.min("_id").alias("first"))
-    groups = written(groups, "groups")
+    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("without"), "id", "hash")
+    groups = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(row).alias("first")), "groups")
     joined = components(_links(groups.select("fp"), budget, node_rows))
     with_first = joined.join(groups, joined.node == groups.fp).select("fp", "root", "first")
-    roots = with_first.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = with_first.join(roots, "root").select("fp", "component_id")
-    every = groups.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(every, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
+    # A component may hold any share of the fingerprints.
+    roots = cut(with_first.groupBy("root").agg(F.count("*").alias("size"), F.min("first").alias("least")))
+    found = join_counted(with_first, roots, "root", "size").select("fp", "least")
+    return marked, written(groups.join(found, "fp", "left").withColumn("least", F.coalesce("least", "first")), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(id, fp, component_id) of each row: the smallest id that links reach from it, itself included."""
+    marked, classes = _classes(docs, id_col, text_col, shingle, budget, node_rows)
+    rows = join_counted(marked, classes.select("fp", "n", F.col("least.id").alias("component_id")), "fp", "n")
+    return rows.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id, then the smallest hash of its text.
 
-    Rows without an id can't be told apart and stay. Of rows with equal ids one stays.
+    A row is known by its id and the hash of its text; a null id is one too, after all others. Of rows that agree in
+    both, the one that is least as JSON stays.
     """
-    classes = near_duplicates(docs, id_col, text_col, shingle, budget)
-    key = free_name("_kept", docs.columns)
-    per_id = classes.groupBy(id_col).agg(F.count("*").alias("n"), F.max(F.col(id_col) == F.col("component_id")).alias("stays"))
-    kept = written(per_id.where("stays").select(F.col(id_col).alias(key), F.col("n").alias("n")), "kept")
-    # The same plan at every size: ids and documents are dealt by id, and each task looks its documents up among its ids.
-    out = docs.join(kept.where("n = 1").select(key).hint("shuffle_hash"), docs[id_col] == F.col(key), "left_semi")
-    out = out.union(docs.where(F.col(id_col).isNull()))
-    many = kept.where("n > 1").select(key)
-    if many.isEmpty():
-        return out
-    # Rows that share an id: the first by text.
-    shared = docs.join(many, docs[id_col] == F.col(key), "left_semi")
-    row = F.struct(F.col(text_col).alias("_first"), *[F.col(f"`{c}`") for c in docs.columns])
-    first = shared.groupBy(F.col(id_col).alias(key)).agg(F.min(row).alias("row"))
-    return out.union(first.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
+    marked, classes = _classes(docs, id_col, text_col, shingle, budget, node_rows)
+    key, own = free_name("_key", docs.columns), [F.col(f"`{c}`") for c in docs.columns]
+    best = classes.where("first = least").select("fp", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"))
+    # How many rows agree with the one that stays; a fingerprint has one best row.
+    same = marked.groupBy("fp", "id", "hash").agg(F.count("*").alias("rows"))
+    kept = same.join(best, (same.fp == best.fp) & same.id.eqNullSafe(best.id) & (same.hash == best.hash), "left_semi")
+    kept = written(kept.select(F.struct("id", "hash").alias(key), F.col("rows").alias("_rows"), F.col("rows").alias("_n")), "kept")
+    keyed = docs.select(*own, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("hash")).alias(key))
+    if kept.where("_rows > 1").isEmpty():
+        return join_counted(keyed, kept.select(key, "_n"), key, "_n").select(*own)
+    rows, many = free_name("_rows", docs.columns), free_name("_many", docs.columns)
+    met = join_counted(keyed, kept.withColumnRenamed("_rows", many) if many != "_rows" else kept, key, "_n")
+    whole = F.struct(*own)
+    first = met.where(F.col(many) > 1).groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(rows))
+    return met.where(F.col(many) == 1).select(*own).union(first.select(*[F.col(f"{rows}.`{c}`") for c in docs.columns]))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
