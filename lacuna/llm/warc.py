@@ -9,8 +9,14 @@ are parsed first; the payload of a record that isn't wanted is skipped without b
 Writing gives each task a file of its own name; the manifest, written at commit, names the files of the tasks that
 succeeded, so those of failed or repeated attempts are never read. Files are reached through ``pyarrow.fs``.
 
+Records of equal payloads are told by digests alone: those that occur more than once are listed, and the listing goes
+to the pages, which stay where they are. Only a listing beyond ``LISTED_ROWS`` is joined by a shuffle, and even then
+pages with a digest that many share stay.
+
 Defined results: a null payload counts as empty; a null URL has no target header; control characters and spaces in a
-URL are percent-encoded; a null id is written as such and read back as null.
+URL are percent-encoded; a null id is written as such and read back as null. Files written elsewhere may hold all
+records in one gzip member. A file that ends within a record, or holds something else, fails the read with its name
+and place; with ``on_error`` "skip" its records before that place are read and the rest of the file is not.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
+from lacuna.llm.common import join_listed, open_fs
+
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length bigint, headers map<string,string>, payload binary"
 INPUT = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length bigint, payload binary"
 MANIFEST = "_manifest.json"
@@ -40,15 +48,6 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _SL = struct.Struct("<2sHII")
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path, and the path in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 def digest_of(payload: bytes) -> str:
     """Bare upper-case base32 of the payload's SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -92,8 +91,21 @@ def _bare(v: str | None) -> str | None:
     return v.removeprefix("<").removesuffix(">") if v is not None else None
 
 
+class BadRecord(ValueError):
+    """Something that is not a whole record."""
+
+
+def _parsed(head: bytes) -> tuple[dict[str, str], int]:
+    """The headers of a record and the length of its block."""
+    headers = _headers(head)
+    length = headers.get("Content-Length", "")
+    if not head.startswith(b"WARC/") or not length.isdecimal():
+        raise BadRecord("not a record")
+    return headers, int(length)
+
+
 class _Plain:
-    """Records of an uncompressed file from an offset."""
+    """Records of an uncompressed file from an offset; blocks are read on demand."""
 
     def __init__(self, f, at: int, end: int):
         self.f, self.at, self.end = f, at, end
@@ -106,10 +118,12 @@ class _Plain:
             while (cut := head.find(b"\r\n\r\n")) < 0:
                 more = self.f.read(4096)
                 if not more:
-                    return
+                    raise BadRecord("a record ends within its headers")
                 head += more
-            h = _headers(head[:cut])
-            self.block, self.length = self.at + cut + 4, int(h.get("Content-Length", 0))
+            h, self.length = _parsed(head[:cut])
+            self.block = self.at + cut + 4
+            if self.block + self.length > size:
+                raise BadRecord("a record ends before its length")
             yield h
             self.at = self.block + self.length + 4
 
@@ -118,48 +132,96 @@ class _Plain:
         return self.f.read(self.length)
 
 
+class _Inflated:
+    """What gzip members hold from an offset on, as one stream."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.f, self.z, self.left, self.data = f, None, b"", bytearray()
+
+    def _more(self) -> bool:
+        if self.z is None:
+            self.left = self.left or self.f.read(65536)
+            if not self.left:
+                return False
+            self.z = zlib.decompressobj(31)
+        raw = self.left or self.f.read(65536)
+        got = self.z.decompress(raw, 1 << 20)
+        if not raw and not got and not self.z.eof:
+            raise BadRecord("a gzip member ends before its length")
+        self.data += got
+        self.left = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        if self.z.eof:
+            self.z = None
+        return True
+
+    def find(self, mark: bytes) -> int:
+        """Where ``mark`` is; -1 if the stream ends before it."""
+        seen = 0
+        while (cut := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if not self._more():
+                return -1
+        return cut
+
+    def fill(self, n: int) -> bool:
+        while len(self.data) < n:
+            if not self._more():
+                return False
+        return True
+
+    def skip(self, n: int) -> bool:
+        while n > len(self.data):
+            n -= len(self.data)
+            self.data.clear()
+            if not self._more():
+                return False
+        del self.data[:n]
+        return True
+
+
 class _Gzip:
-    """Records of a file with a gzip member for each, from an offset."""
+    """Records of a gzip file from an offset: a member each whose header tells its length, or any number in a member."""
 
     def __init__(self, f, at: int, end: int):
         self.f, self.at, self.end = f, at, end
 
+    def _skip_length(self) -> int:
+        self.f.seek(self.at)
+        first = self.f.read(12 + _SL.size)
+        if len(first) == 12 + _SL.size and first[3] & 4 and struct.unpack_from("<H", first, 10)[0] == _SL.size:
+            name, _, skip, _ = _SL.unpack_from(first, 12)
+            return skip if name == b"sl" else 0
+        return 0
+
     def heads(self) -> Iterator[dict[str, str]]:
         size = self.f.size()
         while self.at < min(self.end, size):
-            self.f.seek(self.at)
-            first = self.f.read(4096)
-            if len(first) < 18:
+            skip = self._skip_length()
+            if self.at + skip > size:
+                raise BadRecord("a gzip member ends before its length")
+            self.stream = _Inflated(self.f, self.at)
+            while (cut := self.stream.find(b"\r\n\r\n")) >= 0:
+                head = bytes(self.stream.data[:cut])
+                self.stream.skip(cut + 4)
+                h, self.length = _parsed(head.lstrip(b"\r\n"))
+                yield h
+                if skip:
+                    break
+                if not self.stream.skip(self.length):
+                    raise BadRecord("a record ends before its length")
+                while self.stream.fill(2) and self.stream.data.startswith(b"\r\n"):
+                    self.stream.skip(2)
+            if not skip:  # it has been read to the end of the file
+                if self.stream.data.strip():
+                    raise BadRecord("a record ends within its headers")
                 return
-            skip = 0
-            if first[3] & 4 and struct.unpack_from("<H", first, 10)[0] == _SL.size:
-                name, _, skip, _ = _SL.unpack_from(first, 12)
-                skip = skip if name == b"sl" else 0
-            self.z, self.raw, self.rest = zlib.decompressobj(31), b"", first
-            while (cut := self.raw.find(b"\r\n\r\n")) < 0 and not self.z.eof:
-                self._more(4096)
-            h = _headers(self.raw[:cut])
-            self.cut, self.length = cut + 4, int(h.get("Content-Length", 0))
-            yield h
-            if not skip:  # written elsewhere: its end shows only when it is inflated
-                while not self.z.eof:
-                    self.raw = b""
-                    self._more(1 << 20)
-                skip = self.f.tell() - self.at - len(self.z.unused_data)
             self.at += skip
 
-    def _more(self, size: int) -> None:
-        if not self.rest:
-            self.rest = self.f.read(65536)
-        if not self.rest and not self.z.unconsumed_tail:
-            raise EOFError("a record ends before its length")
-        self.raw += self.z.decompress(self.z.unconsumed_tail + self.rest, size)
-        self.rest = b""
-
     def body(self) -> bytes:
-        while len(self.raw) < self.cut + self.length and not self.z.eof:
-            self._more(1 << 20)
-        return self.raw[self.cut : self.cut + self.length]
+        if not self.stream.fill(self.length):
+            raise BadRecord("a record ends before its length")
+        return bytes(self.stream.data[: self.length])
 
 
 @dataclass
@@ -178,6 +240,9 @@ class WarcReader(DataSourceReader):
         self.types = frozenset(filter(None, options.get("record_types", options.get("recordtypes", "")).split(","))) or None
         self.wanted = {k[7:].lower(): v for k, v in options.items() if k.lower().startswith("header.")}
         self.payload = options.get("payload", "true").lower() != "false"
+        self.on_error = options.get("on_error", "raise")
+        if self.on_error not in ("raise", "skip"):
+            raise ValueError(f"on_error is raise or skip, not {self.on_error!r}")
 
     def pushFilters(self, filters):
         for f in filters:
@@ -197,6 +262,14 @@ class WarcReader(DataSourceReader):
             out = [WarcSplit(i.base_name, 0, 1 << 62) for i in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if i.base_name.endswith((".warc", ".warc.gz"))]
         return out or [WarcSplit("", 0, 0)]
 
+    def _whole(self, records, split):
+        """The headers of ``records``, up to the first that is not whole."""
+        try:
+            yield from records.heads()
+        except (BadRecord, zlib.error) as e:
+            if self.on_error == "raise":
+                raise BadRecord(f"{self.path}/{split.path}, record at byte {records.at}: {e}") from None
+
     def read(self, split):
         fs, base = open_fs(self.path)
         if not split.path:
@@ -206,7 +279,7 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(n, pa.string()) for n in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")] + [("payload_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         with fs.open_input_file(f"{base}/{split.path}") as f:
             records = (_Gzip if split.path.endswith(".gz") else _Plain)(f, split.start, split.end)
-            for h in records.heads():
+            for h in self._whole(records, split):
                 kind = h.get("WARC-Type")
                 if self.types is not None and kind not in self.types:
                     continue
@@ -215,7 +288,13 @@ class WarcReader(DataSourceReader):
                 # What the payload of an HTTP message is, and how long the whole of it is, its own header tells.
                 payload, length = None, None
                 if self.payload or kind == "revisit":
-                    head, sep, payload = records.body().partition(b"\r\n\r\n")
+                    try:
+                        block = records.body()
+                    except (BadRecord, zlib.error) as e:
+                        if self.on_error == "raise":
+                            raise BadRecord(f"{self.path}/{split.path}, record at byte {records.at}: {e}") from None
+                        break
+                    head, sep, payload = block.partition(b"\r\n\r\n")
                     if not sep:
                         head, payload = b"", head
                     length = int(_headers(head).get("Content-Length", len(payload)))
@@ -299,9 +378,10 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("payload"))
     rows = rows.withColumn("_sha1", F.sha1("payload")).withColumn("_n", F.octet_length("payload").cast("bigint"))
-    # Only payloads that occur more than once are listed.
-    last = rows.where((F.col("_n") >= least_bytes) & F.col("_id").isNotNull()).groupBy("_sha1", "_n").agg(F.max("_id").alias("_last"), F.min("_id").alias("_first")).where("_first < _last")
-    rows = rows.join(last.select("_sha1", "_n", "_last"), ["_sha1", "_n"], "left")
+    # Only digests that occur more than once are listed.
+    often = rows.where((F.col("_n") >= least_bytes) & F.col("_id").isNotNull()).groupBy("_sha1", "_n")
+    last = often.agg(F.max("_id").alias("_last"), F.min("_id").alias("_first"), F.count("*").alias("_rows")).where("_first < _last").drop("_first")
+    rows = join_listed(rows, last, ["_sha1", "_n"], "_rows")
     revisit = F.col("_id") < F.col("_last")
     urn = lambda c: F.concat(F.lit(URN), F.coalesce(c.cast("string"), F.lit("null")))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -322,12 +402,15 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     records.write.format("warc").option("compression", compression).mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, record_types: str = "", payload: bool = True, headers: dict[str, str] | None = None) -> DataFrame:
-    """Read the records of ``path``, or those of the given types and headers alone."""
+def read(spark: SparkSession, path: str, record_types: str = "", payload: bool = True, headers: dict[str, str] | None = None, on_error: str = "raise") -> DataFrame:
+    """Read the records of ``path``, or those of the given types and headers alone.
+
+    Turns on the session's setting that lets Python sources take filters.
+    """
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses sources that push filters down
     options = {f"header.{k}": v for k, v in (headers or {}).items()}
-    return spark.read.format("warc").options(record_types=record_types, payload=str(payload).lower(), **options).load(path)
+    return spark.read.format("warc").options(record_types=record_types, payload=str(payload).lower(), on_error=on_error, **options).load(path)
 
 
 def digest(records: DataFrame, id_type: str = "bigint") -> DataFrame:
