@@ -3,11 +3,13 @@
 ``write_tokens`` encodes whole texts and writes them in ascending order of id: texts are dealt by ranges of the id
 and sorted, encoded, and written by Spark's ORC writer, whose committer leaves only whole files of finished tasks.
 Each row holds its place within its file (``local_start``); where a file begins follows from the totals of the
-files before it. ``read_tokens`` reads files stripe by stripe in parallel; a filter on ``doc_id`` prunes files and
-stripes by their statistics and row groups by Bloom filters.
+files before it. ``read_tokens`` is for queries: a filter on ``doc_id`` prunes files and stripes by their statistics
+and row groups by Bloom filters. ``read_stripes`` is for passes over all rows: its tasks take equal shares of the stripes,
+whatever files they stand in.
 
 A tokenizer of words is context-free between white space, so every distinct word of a worker's documents is encoded
-once and remembered, within a bound of memory. The ids are those that the whole text would get.
+once and remembered, within a bound of memory. The ids are those that the whole text would get. Strings of special
+tokens in a text become those tokens, as the library does by default; with ``specials`` false they are ordinary text.
 
 Defined results: a null or empty text has only the end id; rows with a null id come first; rows with equal ids
 keep the order of the input; an empty table gives an empty result; other columns are ignored.
@@ -32,6 +34,8 @@ from lacuna.llm.common import open_fs
 
 #: Words remembered with their ids in a worker, at most.
 MEMO = 1_200_000
+#: Bytes of files that a task reads back, about.
+TASK_BYTES = 64 << 20
 #: Rows of a row group; Bloom filters and row indexes are kept per row group.
 STRIDE = 1_000
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
@@ -60,11 +64,13 @@ _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 class WordEncoder:
     """Ids of whole texts, word by word, for a tokenizer that starts anew at white space and marks the ends of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not specials
+        # Where one of these stands in a text, letter case may tell a special token from text.
+        self.marks = {t.content[:2].encode() for t in self.tok.get_added_tokens_decoder().values()} if specials else set()
         self.bare = Tokenizer(self.tok.model)  # for words that are one pre-token, in the letters of the vocabulary
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters() | {32: " "}
@@ -132,7 +138,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8) one after the other, each with ``end_id`` behind it if given, and their numbers."""
-        ids = np.concatenate([np.zeros(0, np.int32), *map(self._part, _parts(texts))])
+        ids = np.concatenate([np.zeros(0, np.int32), *map(self._part, _parts(texts, [b"\xcc", b"\xcd", *self.marks]))])
         ends = np.flatnonzero(ids == -1)
         sizes = np.diff(ends, prepend=-1)
         if end_id is None:
@@ -141,13 +147,16 @@ class WordEncoder:
         return ids, sizes
 
 
-def _parts(texts: list[bytes | None]) -> Iterator[bytes]:
-    """Texts with ``_END`` behind each, joined up to ``PART`` bytes; longer ones cut at white space."""
+def _parts(texts: list[bytes | None], cased: list[bytes]) -> Iterator[bytes]:
+    """Texts with ``_END`` behind each, joined up to ``PART`` bytes; longer ones cut at white space.
+
+    Letter case of ASCII goes first, but where one of ``cased`` stands: a combining mark, which could compose with a
+    letter, or the beginning of a special token.
+    """
     held, n = [], 0
     for t in texts:
         raw = t or b""
-        # Letter case of ASCII goes first, but where a combining mark could compose with a letter.
-        raw = raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+        raw = raw if any(c in raw for c in cased) else raw.lower()
         while len(raw) > PART and (m := _SPACE.search(raw, PART)):
             yield b" ".join([*held, raw[: m.start()]])
             held, n, raw = [], 0, raw[m.start() :]
@@ -160,39 +169,43 @@ def _parts(texts: list[bytes | None]) -> Iterator[bytes]:
         yield b" ".join(held)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, specials: bool) -> WordEncoder:
+    if (path, specials) not in _encoders:
+        _encoders[path, specials] = WordEncoder(path, specials)
+    return _encoders[path, specials]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, specials: bool = True) -> DataFrame:
     """(doc_id, part, local_start, n_tokens, ids) of whole texts; ``local_start`` counts within the partition ``part``."""
+    names = ["doc_id", "part", "local_start", "n_tokens", "ids"]
+
     def run(batches):
-        enc, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, at = _encoder(tokenizer, specials), TaskContext.get().partitionId(), 0
         gc.disable()  # nothing here makes cycles, and there are millions of small objects to look through
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                b = whole.slice(i, 2048)
-                ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
-        gc.enable()
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, 2048):
+                    b = whole.slice(i, 2048)
+                    ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
+                    start = at + np.cumsum(n) - n
+                    at += int(n.sum())
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], names)
+        finally:
+            gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n_tokens bigint, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, specials: bool = True) -> None:
     """Write the ids of all documents to ``path`` as ORC, in ascending order of id."""
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_n"))
     ordered = dealt.repartitionByRange("doc_id", "_n").sortWithinPartitions("doc_id", "_n")
-    encode(ordered, tokenizer, "doc_id", "text", end_id).write.options(**ORC_OPTIONS).orc(path)
+    encode(ordered, tokenizer, "doc_id", "text", end_id, specials).write.options(**ORC_OPTIONS).orc(path)
 
 
 def _before(spark: SparkSession, path: str) -> DataFrame:
@@ -211,21 +224,47 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
 
 
 def read_stripes(spark: SparkSession, path: str, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, columns: tuple[str, ...] = ("doc_id", "part", "local_start", "ids")) -> DataFrame:
-    """``each`` applied to the rows of every stripe, where they are read: a task opens files and takes stripe by stripe."""
+    """``each`` applied to every stripe, where it is read.
+
+    Tasks count the stripes of the files first. Then all stripes are numbered, and each task takes a range of numbers:
+    no file is bound to one task, and nothing is shuffled. What the driver holds is a row per file, as a listing does.
+    """
     fs, base = open_fs(path)
-    files = [(i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".orc")]
-    listed = spark.createDataFrame(files or [("", 0)], "name string, size bigint")
+    files = sorted((i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".orc"))
+    names = [name for name, _ in files]
+    tasks = max(1, len(files), sum(size for _, size in files) // TASK_BYTES)
 
-    def run(batches):
+    def count(batches):
         fs, base = open_fs(path)
         for b in batches:
-            for name in filter(None, b.column(0).to_pylist()):
-                with fs.open_input_file(f"{base}/{name}") as f:
-                    orc = ORCFile(f)
-                    for i in range(orc.nstripes):
-                        yield each(orc.read_stripe(i, columns=list(columns)))
+            n = []
+            for i in b.column(0).to_pylist():
+                with fs.open_input_file(f"{base}/{names[i]}") as f:
+                    n.append(ORCFile(f).nstripes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n"])
+
+    counted = spark.range(0, len(files), 1, max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInArrow(count, "id bigint, n bigint")
+    first = np.cumsum([0, *(r["n"] for r in counted.orderBy("id").collect())])
 
-    return listed.repartition(max(1, len(files)), "name").mapInArrow(run, schema)
+    def run(batches):
+        fs, base = open_fs(path)
+        opened, f, orc = -1, None, None
+        try:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    i = int(np.searchsorted(first, k, "right")) - 1
+                    if i != opened:
+                        if f is not None:
+                            f.close()
+                        f = fs.open_input_file(f"{base}/{names[i]}")
+                        opened, orc = i, ORCFile(f)
+                    yield each(orc.read_stripe(k - int(first[i]), columns=list(columns)))
+        finally:
+            if f is not None:
+                f.close()
+
+    total = int(first[-1])
+    return spark.range(0, total, 1, max(1, min(total, tasks))).mapInArrow(run, schema)
 
 
 def checksums(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
