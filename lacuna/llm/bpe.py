@@ -7,7 +7,8 @@
    one task, is encoded there once, and its ids go back to the blocks that asked. Words travel in packed chunks per
    block and bucket; a chunk does not depend on how often a word occurs, so frequent words are no hot keys.
 3. Per block, ids are put back at the positions of the documents. Decoding joins the ids with the token-byte table,
-   a fixed table of the vocabulary.
+   a fixed table of the vocabulary. A checksum of its text goes with each document, and one that does not decode to
+   its text fails the job.
 
 Words are numbered by how often they occur in the block (in powers of two), then by bucket, then by their bytes. So
 frequent words have small numbers, which pack well, and a chunk need not carry the numbers of its words.
@@ -18,7 +19,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import base64
+import contextlib
 import itertools
 import uuid
 import zlib
@@ -36,7 +39,7 @@ BLOCK_BYTES = 20 << 20
 #: Pre-tokens of the documents in one row, about.
 PACK = 250_000
 #: Bounds of the number of buckets; between them it is four for each shuffle partition.
-LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4_096
 #: Classes of words by frequency: 2^0, 2^1, ... occurrences in the block.
 CLASSES = 32
 
@@ -132,9 +135,9 @@ class _Block:
     """The documents of a block, and its distinct words numbered by appearance."""
 
     def __init__(self):
-        self.key, self.number, self.ids, self.docs, self.bytes = uuid.uuid4().hex, {}, [], [], 0
+        self.key, self.number, self.ids, self.docs, self.checks, self.bytes = uuid.uuid4().hex, {}, [], [], [], 0
 
-    def add(self, key, pieces: list[str], size: int) -> None:
+    def add(self, key, pieces: list[str], raw: bytes) -> None:
         number = self.number
         found = list(map(number.get, pieces))
         if None in found:
@@ -144,7 +147,8 @@ class _Block:
             found = list(map(number.__getitem__, pieces))
         self.ids.append(key)
         self.docs.append(np.array(found, dtype=np.uint32))
-        self.bytes += size
+        self.checks.append(zlib.crc32(raw))
+        self.bytes += len(raw)
 
     def packed(self, buckets: int):
         """Rows (kind, bucket, seq, ids, data): the documents (kind 1), and the words of each bucket (kind 0)."""
@@ -162,7 +166,8 @@ class _Block:
             n += len(d)
             if n >= PACK or i + 1 == len(self.docs):
                 some = self.docs[first : i + 1]
-                data = _Out().numbers(np.array([len(x) for x in some])).numbers(renumbered[np.concatenate(some)]).pack()
+                checks = np.array(self.checks[first : i + 1], dtype=np.uint32)
+                data = _Out().numbers(np.array([len(x) for x in some])).numbers(renumbered[np.concatenate(some)]).numbers(checks).pack()
                 yield 1, 0, first, self.ids[first : i + 1], data
                 first, n = i + 1, 0
         mine = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then class, then bytes
@@ -194,7 +199,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes:
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
-                block.add(key, find(text), len(text.encode("utf-8", "surrogatepass")))
+                block.add(key, find(text), text.encode("utf-8", "surrogatepass"))
                 if block.bytes >= block_bytes:
                     yield from rows(block)
                     block = _Block()
@@ -273,14 +278,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def documents(keys, packed, words, table):
         flat, start, size = words
-        lengths, at = packed.numbers().astype(np.int64), packed.numbers()
+        lengths, at, checks = packed.numbers().astype(np.int64), packed.numbers(), packed.numbers()
         ids = flat[_spread(start[at], size[at])]
         # Where documents end among the words, then among the ids, then among the bytes.
         ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(lengths)])]
         cuts = np.concatenate([[0], np.cumsum(table[2][ids])])[ends]
         text = decode(ids, table)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        texts = pa.array([text[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        each = [text[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for key, said, want in zip(keys, each, checks.tolist(), strict=True):
+            if zlib.crc32(said) != want:
+                raise ValueError(f"the ids of document {key} do not decode to its text")
+        texts = pa.array(each, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(keys, id_type), lists, texts], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -292,10 +301,18 @@ def _by_block(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` written to the shared folder as a table bucketed by block, so that the documents' positions are never
     shuffled: only words and their ids travel."""
     path, name = fresh_path(rows.sparkSession, "pieces"), f"lacuna_pieces_{uuid.uuid4().hex}"
+    atexit.register(_drop_table, rows.sparkSession, name)
     rows.write.bucketBy(n, "block").option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
+def _drop_table(spark, name: str) -> None:
+    """Take a table out of the catalog when the driver ends, if the session still lives."""
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the gateway may be gone
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def digest(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of what ``encode`` gives."""
     return tokens.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
