@@ -13,7 +13,8 @@ same rows at any partitioning. Whole texts are scored and fitted, never prefixes
 
 Defined results: a null or empty text has only its statistics and gets a score like any other; with no labelled
 rows, or one class alone, every score is that class's (or one half). A document that is labelled more than once
-counts once, with its lowest label. Null labels are ignored. Repeated rows each give a row.
+counts once, with its lowest label; of rows that share a labelled id, one is fitted, that with the least features.
+Null labels are ignored. Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -169,8 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_train)
-    rows = _featured(docs.select(id_col, text_col, length_col).join(F.broadcast(chosen), id_col), [id_col, text_col, length_col, "_y"]).dropDuplicates([id_col]).collect()
-    rows.sort(key=lambda r: r[0])
+    met = docs.select(id_col, text_col, length_col).join(F.broadcast(chosen), id_col)
+    found = _featured(met, [id_col, text_col, length_col, "_y"]).groupBy(id_col).agg(F.min(F.struct("_words", "_stats", "_y")).alias("_row"))
+    rows = [r["_row"] for r in sorted(found.collect(), key=lambda r: r[0])]
     return fit([(np.frombuffer(r["_words"], np.int32), np.frombuffer(r["_stats"], np.float64)) for r in rows], np.array([r["_y"] for r in rows], dtype=np.float32))
 
 

@@ -130,15 +130,22 @@ def test_quality_edges(spark):
     assert quality.score(d, model).collect() == quality.score(d, quality.train(d, labels)).collect()
 
 
-def plain_ids(texts):
+def test_quality_model_does_not_depend_on_the_order_of_rows(spark):
+    d = docs(spark, ["one text", "two texts"]).union(docs(spark, ["another text", "yet another"])).union(docs(spark, ["third", None]))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1)], "doc_id bigint, quality int")
+    models = [quality.train(d.repartition(n), labels) for n in (1, 2, 3, 7)]
+    assert all((m.w == models[0].w).all() and (m.v == models[0].v).all() and m.w0 == models[0].w0 for m in models)
+
+
+def plain_ids(texts, specials=True):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(Q.tokenizer_path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not specials
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-ODD = ["J\u030cx j\u030c, a b é— — ,'s don't I'LL 12ab", "<|endoftext|> a<|startoftext|>b", "ÀÉ\u0301! \x1c x\x1dy ǅ ß… 日本語 １２ ²½ \u200b\u200d", "İa ŉx ĸ Ŀ İ", "word, Word. word### don't. it's, x'y", "''' ''s 'S", "a\u00a0b\u2003c\u0085d"]
+ODD = ["A <|endoftext|>B<|startoftext|> x<|EndOfText|>Y <|ENDOFTEXT|>", "J\u030cx j\u030c, a b é— — ,'s don't I'LL 12ab", "<|endoftext|> a<|startoftext|>b", "ÀÉ\u0301! \x1c x\x1dy ǅ ß… 日本語 １２ ²½ \u200b\u200d", "İa ŉx ĸ Ŀ İ", "word, Word. word### don't. it's, x'y", "''' ''s 'S", "a\u00a0b\u2003c\u0085d"]
 
 
 def test_word_encoder_equals_the_tokenizer():
@@ -149,6 +156,8 @@ def test_word_encoder_equals_the_tokenizer():
     ids, n = enc.encode([None if t is None else t.encode() for t in texts], 7)
     got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     assert got == [[*x, 7] for x in plain_ids(texts)]
+    plain, n_plain = orc_tokens.WordEncoder(Q.tokenizer_path("word_bpe_49k.json"), specials=False).encode([(t or "").encode() for t in texts], 7)
+    assert [x.tolist() for x in np.split(plain, np.cumsum(n_plain)[:-1])] == [[*x, 7] for x in plain_ids(texts, specials=False)]
     small = orc_tokens.WordEncoder(Q.tokenizer_path("word_bpe_49k.json"))
     orc_tokens.PART, part = 50, orc_tokens.PART
     orc_tokens.MEMO, memo = 5, orc_tokens.MEMO
@@ -183,6 +192,28 @@ def test_orc_repeated_null_and_no_rows(spark, tmp_path):
     assert orc_tokens.checksums(spark, path + "-none").count() == 0
 
 
+def test_orc_query(spark, sf):
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want = [[*x, 1] for x in plain_ids([r["text"] for r in rows])]
+    got = Q.op3_orc_tokens(spark, sf).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(r["doc_id"], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in zip(rows, want, strict=True)]
+    assert [r["start"] for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
+def test_stripes_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(orc_tokens.ORC_OPTIONS, "orc.stripe.size", "1024")
+    monkeypatch.setattr(orc_tokens, "TASK_BYTES", 1_000)
+    path = (tmp_path / "tokens").as_uri()
+    rnd = random.Random(1)
+    d = docs(spark, [" ".join(str(rnd.random()) for _ in range(5)) for _ in range(60_000)])
+    orc_tokens.write_tokens(d, path, Q.tokenizer_path("word_bpe_49k.json"))
+    rows = orc_tokens.checksums(spark, path)
+    sizes = orc_tokens.read_stripes(spark, path, lambda b: b.select(["doc_id"]), "doc_id bigint", ("doc_id",)).rdd.glom().map(len).collect()
+    assert rows.count() == 60_000 == sum(sizes)
+    files = [f for f in (tmp_path / "tokens").iterdir() if f.suffix == ".orc"]
+    assert len(sizes) > len(files) and min(sizes) > 0
+
+
 def tiktoken_of(path):
     import tiktoken
 
