@@ -137,7 +137,7 @@ def run(args: argparse.Namespace):
             warn("without permutations AUROC has no baseline; it is not 0.5 here")
         elif first["permutations"] < args.null_permutations:
             warn(f"{args.null_permutations - first['permutations']} permutations had one class alone and are left out")
-        return out
+        return out.drop("auroc_null_sd", "z")
     graph = label_graph(works, labels)
     if args.command == "concepts":
         return top_labels(graph, args.top)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.gaps import gap_order, gap_pairs, with_observed
-from lacuna.operators.labels import LabelGraph, label_graph, ranked
+from lacuna.operators.labels import LabelGraph, graph_of_documents, label_documents, ranked
 from lacuna.params import MIN_EXPECTED, LabelFilter
+from lacuna.session import cut, written
 
-#: Cohorts by training lift, in their order.
+# The names of cohorts by training lift, in their order.
 BUCKETS = ("train_lift = 0", "train_lift (0, 0.5)", "train_lift [0.5, 1)", "train_lift [1, 2)", "train_lift >= 2")
 
 
@@ -31,7 +32,8 @@ def bucket(observed: Column, product: Column, n: Column) -> Column:
 
 def backtest(works: DataFrame, labels: LabelFilter, split_year: int, min_works: int = 15) -> Backtest:
     """Works up to ``split_year`` train, later ones test; works without a year do neither."""
-    train, test = label_graph(works.where(F.col("year") <= split_year), labels), label_graph(works.where(F.col("year") > split_year), labels)
+    documents = written(label_documents(works, labels), "labels")
+    train, test = graph_of_documents(documents.where(F.col("year") <= split_year)), graph_of_documents(documents.where(F.col("year") > split_year))
     pairs = gap_pairs(train, min_works)
     counts = test.labels.select("label_id", F.col("works").alias("n"))
     for x in ("a", "b"):  # by id, never by place
@@ -43,7 +45,7 @@ def backtest(works: DataFrame, labels: LabelFilter, split_year: int, min_works:
     pairs = pairs.withColumn("test_expected", expected)
     pairs = pairs.withColumn("test_lift", F.when(F.col("test_expected") > 0, F.col("test_observed") / F.col("test_expected")))
     pairs = pairs.withColumn("bucket", bucket(F.col("observed"), F.col("works_a") * F.col("works_b"), F.lit(train.n_works)))
-    return Backtest(train, test, pairs, works.where(F.col("year").isNull()).count())
+    return Backtest(train, test, cut(pairs), documents.where(F.col("year").isNull()).count())
 
 
 def top_gaps(result: Backtest, top: int) -> DataFrame:

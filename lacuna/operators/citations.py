@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import truncated
@@ -38,23 +38,29 @@ def pagerank(ids: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
     """(id, pagerank) of all ``ids`` (id) over distinct ``edges`` (src, dst).
 
     The rank of ids without edges out is spread over all. Ends once the ranks move by less than ``tolerance`` in
-    all, or after ``most`` rounds. A round is a join of the edges with the ranks, one aggregation by target, and a
-    checkpoint, without which plans would double from round to round; then one small action reads how far ranks moved
-    and what leads nowhere. Edges are dealt by source once and stay so.
+    all, or after ``most`` rounds. A round is one job: a join of the edges with the ranks, one aggregation by target, and
+    a checkpoint, without which plans would double from round to round; how far ranks moved and what leads nowhere is
+    observed on the way. Edges are dealt by source once and stay so.
     """
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("pagerank")).limit(0)
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
-    weighted = cut(edges.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out")).alias("w")).repartition("src"))
-    ranks = cut(ids.join(degree, "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    # A fixed number of partitions, so that edges and ranks stay dealt alike from round to round.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(edges.repartition(tasks, "src"))
+    degree = cut(dealt.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out")))
+    weighted = cut(dealt.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out")).alias("w")))
+    ranks = cut(ids.join(degree, "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")).repartition(tasks, "id"))
     lost = ranks.where("dangling").count() / n
     for _ in range(most):
         given = ranks.select(F.col("id").alias("src"), "rank").join(weighted, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("given"))
         now = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("given", F.lit(0.0))
-        ranks = cut(ranks.join(given, "id", "left").select("id", "dangling", now.alias("rank"), F.abs(now - F.col("rank")).alias("moved")))
-        moved, lost = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
-        if moved < tolerance:
+        seen = Observation()
+        fresh = ranks.join(given, "id", "left").select("id", "dangling", now.alias("rank"), F.abs(now - F.col("rank")).alias("moved"))
+        stray = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+        ranks = cut(fresh.observe(seen, F.sum("moved").alias("moved"), stray.alias("lost"))).drop("moved")
+        lost = seen.get["lost"]
+        if seen.get["moved"] < tolerance:
             break
     return ranks.select("id", F.col("rank").alias("pagerank"))
 

@@ -5,6 +5,8 @@ The null of AUROC is not one half here: candidates are chosen by frequency, and
 
 from __future__ import annotations
 
+from statistics import stdev
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ def placed(pairs: DataFrame) -> DataFrame:
 
 
 def evaluate(result: Backtest, positive: str = "co_tagged", top: int = 20, reference: str = "lift", permutations: int = 200) -> DataFrame:
-    """One row per scorer in fixed order."""
+    """One row per scorer in fixed order; ``z`` is the excess over the null in sample deviations of it, null if those are 0."""
     spark = result.pairs.sparkSession
     # A few thousand pairs, read several times.
     pairs = cut(placed(evaluable(result, positive)))
@@ -111,13 +113,16 @@ def evaluate(result: Backtest, positive: str = "co_tagged", top: int = 20, refer
         ref = found.get(reference, {}).get("auroc")
         delta = ref - seen if scorer != reference and seen is not None and ref is not None else None
         gaps = [row[reference] - row[scorer] for row in null] if delta is not None else []
-        out.append(
-            (scorer, n, positives, positives / n if n else None, seen, f.get("auroc_stratified"), base, seen - base if seen is not None and base is not None else None, delta, mean(gaps), empirical_p(delta, gaps), used, k, f.get("precision_at_k") if k else None, f.get("gap_precision_at_k") if k else None)
-        )
+        excess = seen - base if seen is not None and base is not None else None
+        deviation = stdev(own, base) if len(own) > 1 else None
+        z = excess / deviation if excess is not None and deviation else None
+        at_k = (f.get("precision_at_k"), f.get("gap_precision_at_k")) if k else (None, None)
+        out.append((scorer, n, positives, positives / n if n else None, seen, f.get("auroc_stratified"), base, excess, delta, mean(gaps), empirical_p(delta, gaps), used, k, *at_k, deviation, z))
     return spark.createDataFrame(out, EVALUATION)
 
 
 EVALUATION = (
     "scorer string, pairs bigint, positives bigint, base_rate double, auroc double, auroc_stratified double, auroc_null double, excess double, "
-    "delta double, delta_null double, p_value double, permutations bigint, k bigint, precision_at_k double, gap_precision_at_k double"
+    "delta double, delta_null double, p_value double, permutations bigint, k bigint, precision_at_k double, gap_precision_at_k double, "
+    "auroc_null_sd double, z double"
 )

@@ -10,11 +10,13 @@ from lacuna.params import MIN_BRIDGE_OBSERVED, MIN_EXPECTED
 
 #: Labels that are broadcast for pairing, at most; more are paired by ranges of their frequency.
 BROADCAST_LABELS = 200_000
+#: Labels in a part of a range, about.
+PART_LABELS = 20_000
 
 
 def ratio(observed, wa, wb):
     """Observed over the product of frequencies: one division of whole numbers, which orders as the exact ratio does
-    while numerator times denominator stays below 2^53; beyond that a decimal quotient takes its place in the order."""
+    while numerator times denominator stays below 2^53; beyond that ratios that differ in the last bit may tie."""
     return observed.cast("double") / (wa.cast("double") * wb.cast("double"))
 
 
@@ -29,10 +31,29 @@ def candidate_pairs(labels: DataFrame, n_works: int, min_works: int) -> DataFram
     floor = MIN_EXPECTED * n_works
     kept = kept.where(F.col("works") * F.lit(most or 0) >= floor)
     side = lambda x: kept.select(*[F.col(c).alias(f"{c}_{x}") for c in ("label_id", "name", "works", "first")])
-    a, b = side("a"), side("b")
-    b = F.broadcast(b) if n <= BROADCAST_LABELS else b
     oriented = F.struct("name_a", "first_a") < F.struct("name_b", "first_b")
-    return a.join(b, oriented & (F.col("works_a") * F.col("works_b") >= floor))
+    wanted = oriented & (F.col("works_a") * F.col("works_b") >= floor)
+    if n <= BROADCAST_LABELS:
+        return side("a").join(F.broadcast(side("b")), wanted)
+    return _paired_by_range(kept, side, wanted, floor)
+
+
+def _paired_by_range(kept: DataFrame, side, wanted, floor: int) -> DataFrame:
+    """Labels are cut into ranges of frequency, by powers of two, and large ranges into parts. Two parts are paired, as
+    one key of a join, only if the largest product of their ranges reaches the floor."""
+    power = lambda c: F.floor(F.log2(c.cast("double")) + 1e-9).cast("int")
+    sizes = kept.groupBy(power(F.col("works")).alias("power")).count().collect()  # one row a range, 63 at most
+    parts = [(r["power"], p, -(-r["count"] // PART_LABELS)) for r in sizes for p in range(-(-r["count"] // PART_LABELS))]
+    met = [(i, *x, *y) for i, (x, y) in enumerate((x, y) for x in parts for y in parts if 2 ** (x[0] + y[0] + 2) >= floor)]
+    units = kept.sparkSession.createDataFrame(met, "unit int, power_a int, part_a int, parts_a int, power_b int, part_b int, parts_b int")
+
+    def dealt(x):
+        where = (power(F.col(f"works_{x}")) == F.col(f"power_{x}")) & (F.pmod(F.xxhash64(f"label_id_{x}"), F.col(f"parts_{x}")) == F.col(f"part_{x}"))
+        mine = units.select("unit", f"power_{x}", f"part_{x}", f"parts_{x}")
+        # As many rows as pairs of parts: (labels / PART_LABELS + 63) squared at most.
+        return side(x).join(F.broadcast(mine), where).drop(f"power_{x}", f"part_{x}", f"parts_{x}")
+
+    return dealt("a").join(dealt("b").hint("shuffle_hash"), "unit").where(wanted).drop("unit")
 
 
 def with_observed(pairs: DataFrame, counts: DataFrame, a: str = "label_id_a", b: str = "label_id_b", name: str = "observed") -> DataFrame:

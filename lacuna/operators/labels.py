@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.arrays import let
 from lacuna.params import CONCEPTS, LabelFilter
-from lacuna.session import cut
+from lacuna.session import cut, written
 
 
 def label_documents(works: DataFrame, labels: LabelFilter) -> DataFrame:
@@ -54,8 +54,8 @@ def cooccurrence(documents: DataFrame) -> DataFrame:
 class LabelGraph:
     """``n_works`` counts all works, those without labels and repeated ids too.
 
-    Labels and pairs are aggregates, far smaller than the corpus, and everything else is made of them; so they are
-    computed once and checkpointed, and the corpus is read twice in all.
+    The labels of all works are written once, without the rest of the works, so the corpus is read once. Labels and
+    pairs are aggregates of those, far smaller, and everything else is made of them; they are checkpointed.
     """
 
     n_works: int
@@ -65,8 +65,12 @@ class LabelGraph:
 
 
 def label_graph(works: DataFrame, labels: LabelFilter) -> LabelGraph:
-    documents = label_documents(works, labels)
-    return LabelGraph(works.count(), documents, cut(label_table(documents)), cut(cooccurrence(documents)))
+    return graph_of_documents(written(label_documents(works, labels), "labels"))
+
+
+def graph_of_documents(documents: DataFrame) -> LabelGraph:
+    """The graph of works (ord, year, labels) that are written already."""
+    return LabelGraph(documents.count(), documents, cut(label_table(documents)), cut(cooccurrence(documents)))
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

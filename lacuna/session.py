@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_COUNT = itertools.count()
+
 
 def get_session(app: str = "lacuna", partitions: int | None = None) -> SparkSession:
     """The active session, or a local one; a cluster's settings are never overridden."""
@@ -39,3 +44,31 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and checkpointed to the shared folder, so that it outlives executors and has no lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{next(_COUNT)}-{uuid.uuid4().hex[:12]}"
+    atexit.register(drop_path, spark, path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a path in the shared folder, if the session still lives."""
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone at exit; the folder is temporary
+        pass
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there. For what is large or is read
+    by columns; ``cut`` keeps a partitioning and suits what is small."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -191,7 +191,7 @@ def test_registered_permutations_can_give_a_win_and_a_loss(spark, monkeypatch):
         asked.append(permutations)
         null = [(-1) ** i * 0.01 for i in range(permutations)]
         rows = [("lift", None, None, 0.7)] + [(s, d, empirical_p(d, null), 0.7 - d) for s, d in (("jaccard", 0.3), ("adamic_adar", -0.3), ("random", 0.005))]
-        return spark.createDataFrame([(s, 9, 4, 0.4, 0.7, strat, 0.5, 0.2, d, 0.0 if d else None, p, permutations, 2, 0.5, 0.5) for s, d, p, strat in rows], EVALUATION)
+        return spark.createDataFrame([(s, 9, 4, 0.4, 0.7, strat, 0.5, 0.2, d, 0.0 if d else None, p, permutations, 2, 0.5, 0.5, None, None) for s, d, p, strat in rows], EVALUATION)
 
     monkeypatch.setattr(plans, "replay", lambda *a: None)
     monkeypatch.setattr(plans, "evaluate", planted)

@@ -110,3 +110,30 @@ def test_limits():
     for bad in ("0", "-1", "x"):
         with pytest.raises(ValueError):
             valid_limit(bad)
+
+
+def test_pairing_by_ranges_equals_the_broadcast(spark, monkeypatch):
+    from lacuna.operators import gaps
+
+    rows = [(f"L{i}", f"N{i % 50}", 2, 1 + i * i % 97, (i, 0)) for i in range(120)]
+    labels = spark.createDataFrame(rows, "label_id string, name string, level int, works bigint, first struct<ord: bigint, pos: int>")
+    want = sorted(map(str, gaps.candidate_pairs(labels, 300, 2).collect()))
+    assert len(want) > 100
+    monkeypatch.setattr(gaps, "BROADCAST_LABELS", 10)
+    for part in (7, 1_000):
+        monkeypatch.setattr(gaps, "PART_LABELS", part)
+        ranged = gaps.candidate_pairs(labels, 300, 2)
+        assert sorted(map(str, ranged.collect())) == want
+        plan = ranged._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan
+
+
+def test_many_terms_hit_as_few_do(spark, monkeypatch):
+    from lacuna.operators import textcheck
+
+    corpus = spark.createDataFrame([(1, " one two three "), (2, " two three "), (3, " "), (4, " three one two two ")], "ord bigint, text string")
+    terms = spark.createDataFrame([("a", " one "), ("b", " two three "), ("b", " three "), ("c", " one two "), ("d", " two two "), ("e", " wo ")], "label_id string, term string")
+    want = sorted(map(tuple, textcheck.text_hits(corpus, terms).collect()))
+    assert want == [(1, "a"), (1, "b"), (1, "c"), (2, "b"), (4, "a"), (4, "b"), (4, "c"), (4, "d")]
+    monkeypatch.setattr(textcheck, "SENT_TERMS", 2)
+    assert sorted(map(tuple, textcheck.text_hits(corpus, terms).collect())) == want
