@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import itertools
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.session import cut, shared_dir  # noqa: F401  cut: for the operators
+from lacuna.session import cut, drop_path, fresh_path, shared_dir, written  # noqa: F401  for the operators
 
-_COUNT = itertools.count()
 #: Keys that hold more than one in so many rows are hot; there are never more of them than this.
 HOT_KEYS = 1_000
 #: Rows of a listing of keys that is broadcast, at most; a longer one is joined by a shuffle.
@@ -24,33 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{next(_COUNT)}-{uuid.uuid4().hex[:12]}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path in the shared folder, if the session still lives."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit; the folder is temporary
-        pass
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, and the path in it."""
     if path.startswith("file:"):

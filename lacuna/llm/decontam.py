@@ -8,9 +8,10 @@ the automaton's state for that window tells the items it occurs in. Items shorte
 Before a run of words enters the automaton, runs that cannot hold a window are left out: a window of n words needs
 n - 1 consecutive word pairs that all stand next to each other in some item. This loses nothing.
 
-The automaton is built in blocks of at most ``BLOCK_WORDS`` words of items, and documents pass all blocks one after
-the other, so neither the driver nor a task ever holds more than one block; items that are longer are cut into
-segments that overlap by a window less one word, which have the same windows.
+The automaton is built in blocks of about ``BLOCK_WORDS`` words of items, each in a task of its own, and written to the
+shared folder. Documents are read once, however many blocks there are: a task takes some megabytes of texts through
+one block after the other. So neither the driver nor a task ever holds more than one block. Items that are longer are
+cut into segments that overlap by a window less one word, which have the same windows.
 
 Defined results: a null or empty text has no words, and is not contaminated; items with equal ids count once; items
 with a null id or without words match nothing; an empty benchmark hits nothing; repeated rows each give a row.
@@ -19,20 +20,25 @@ with a null id or without words match nothing; an empty benchmark hits nothing;
 from __future__ import annotations
 
 import itertools
+import pickle
+import uuid
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lacuna.llm.common import free_name, written
+from lacuna.llm.common import fresh_path, open_fs
 
 WINDOW = 10
 #: Words of items in one automaton: some 300 bytes a word in a worker's memory.
 BLOCK_WORDS = 200_000
 #: Bytes of text that are turned into word numbers at a time.
 PART = 4 << 20
+#: Bytes of text that pass all blocks together, where there is more than one.
+GROUP_BYTES = 64 << 20
 
 _WORD = bytes([*range(48, 58), *range(97, 123), *range(128, 256)])
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
@@ -202,8 +208,8 @@ def union(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> tuple[DataFrame, list[int]]:
-    """Segments of items as (block, key, words), and the blocks."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """Segments of items as (block, key, words)."""
     step = block_words
 
     def cut(batches):
@@ -222,51 +228,87 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
     cuts = benchmark.select(id_col, text_col).mapInArrow(cut, f"key {kind}, at bigint, words binary, n bigint")
     total = cuts.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    return cuts.withColumn("block", F.pmod(F.xxhash64("key", "at"), F.lit(n))), list(range(n))
-
-
-def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-    """One automaton after the other; the driver holds one at a time."""
-    cuts, blocks = _blocks(benchmark, id_col, text_col, window, block_words)
-    if len(blocks) > 1:
-        cuts = written(cuts, "benchmark")
-    for block in blocks:
-        rows = cuts.where(F.col("block") == block).select("key", "words").collect()
-        yield Automaton([(r["key"], bytes(r["words"]).split()) for r in rows], window), len(blocks)
+    return cuts.select(F.pmod(F.xxhash64("key", "at"), F.lit(n)).alias("block"), "key", "words")
+
+
+def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[str]:
+    """The files of the automata, built by tasks, one a block; only those of tasks that succeeded are named."""
+    cuts = _blocks(benchmark, id_col, text_col, window, block_words)
+    path = fresh_path(benchmark.sparkSession, "automata")
+
+    def build(rows: pa.Table) -> pa.Table:
+        items = zip(rows.column("key").to_pylist(), rows.column("words").to_pylist(), strict=True)
+        fs, base = open_fs(path)
+        fs.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+            pickle.dump(Automaton([(key, words.split()) for key, words in items], window), f, protocol=5)
+        return pa.table({"name": [name]})
+
+    return sorted(f"{path}/{r['name']}" for r in cuts.groupBy("block").applyInArrow(build, "name string").collect())
+
+
+_held: dict[str, Automaton] = {}
+
+
+def _opened(name: str) -> Automaton:
+    """An automaton; a worker holds the one that it used last."""
+    if name not in _held:
+        _held.clear()
+        fs, base = open_fs(name)
+        with fs.open_input_stream(base, compression=None) as f:
+            _held[name] = pickle.loads(f.read())
+    return _held[name]
+
+
+def _groups(batches, at: int, alone: bool, group_bytes: int):
+    """Batches that pass all blocks together."""
+    held, size = [], 0
+    for whole in batches:
+        for i in range(0, max(whole.num_rows, 1), 4096):
+            b = whole.slice(i, 4096)
+            held.append(b)
+            size += b.column(at).nbytes
+            if alone or size >= group_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _search(batches, at: int, names: list[str], window: int, group_bytes: int):
+    """Each batch with the texts of its column ``at`` and what ``find_windows`` finds in them by all blocks together."""
+    for group in _groups(batches, at, len(names) < 2, group_bytes):
+        texts = [b.column(at).to_pylist() for b in group]
+        found = None
+        for name in names or [""]:
+            automaton = _opened(name) if name else Automaton([], window)
+            now = [find_windows(automaton, t) for t in texts]
+            if found is None:
+                found = now
+                continue
+            for old, new in zip(found, now, strict=True):
+                for i, (n, spans, keys) in enumerate(new):
+                    if spans:
+                        old[i] = n, union(sorted([*old[i][1], *spans])), old[i][2] | keys
+        yield from zip(group, texts, found, strict=True)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_words``, ``spans`` (disjoint hit word spans, end exclusive) and ``items``."""
-    item = benchmark.schema[item_col].dataType.simpleString()
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("_n"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("_spans"), F.expr(f"cast(array() as array<{item}>)").alias("_items"))
-    sent = None
-    for automaton, n in _automata(benchmark, item_col, item_text_col, window, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)  # at most block_words words
-        out = out.mapInArrow(_matcher(sent), out.schema)
-        if n > 1:
-            out = written(out, "windows")
-            sent.unpersist()
-    spans = out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
-    assert spans.schema[id_col].dataType.simpleString() == kind
-    return spans
-
-
-def _matcher(sent):
+    names = _automata(benchmark, item_col, item_text_col, window, block_words)
+    item, kind = (to_arrow_type(df.schema[c].dataType) for df, c in ((benchmark, item_col), (docs, id_col)))
+    schema = pa.schema([(id_col, kind), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(item))])
+
     def run(batches):
-        for whole in batches:
-            for i in range(0, max(whole.num_rows, 1), 4096):
-                b = whole.slice(i, 4096)
-                found = find_windows(sent.value, b.column(1).to_pylist())
-                old_spans, old_items = b.column(3), b.column(4)
-                if any(f[1] for f in found) or any(len(x) for x in old_spans):
-                    spans = [union(sorted([*((s["start"], s["end"]) for s in x), *f[1]])) for x, f in zip(old_spans.to_pylist(), found, strict=True)]
-                    items = [sorted({*x, *f[2]}, key=str) for x, f in zip(old_items.to_pylist(), found, strict=True)]
-                    old_spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], old_spans.type)
-                    old_items = pa.array(items, old_items.type)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), old_spans, old_items], b.schema.names)
+        for b, _, found in _search(batches, 1, names, window, group_bytes):
+            spans = [[{"start": s, "end": e} for s, e in f[1]] for f in found]
+            items = [sorted(f[2], key=str) for f in found]
+            columns = [b.column(0), [f[0] for f in found], spans, items]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, schema.types, strict=True)], schema.names)
 
-    return run
+    types = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {types[0]}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<{types[1]}>")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -295,52 +337,27 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + raw[done:]).decode("utf-8", "surrogatepass")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` without the hit spans in their texts, and without documents of which more than ``max_coverage`` is hit.
 
     Texts that hold no window stay as they are; null stays null.
     """
-    at, schema = docs.columns.index(text_col), docs.schema
-    hit = free_name("_hit", docs.columns)
-    wide = docs.withColumn(hit, F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).schema
-
-    def mapper(sent, first, last):
-        """One pass: marks the hits of a block of items, and at the last one cuts; a task needs one worker."""
-
-        def run(batches):
-            for whole in batches:
-                for i in range(0, max(whole.num_rows, 1), 4096):
-                    b = whole.slice(i, 4096)
-                    rest = b if first else b.select(b.schema.names[:-1])
-                    spans = [f[1] for f in find_windows(sent.value, b.column(at).to_pylist())]
-                    if not first:
-                        spans = [union(sorted([*((s["start"], s["end"]) for s in x), *f])) for x, f in zip(b.column(b.num_columns - 1).to_pylist(), spans, strict=True)]
-                    if last:
-                        yield cut(rest, spans)
-                    else:
-                        marks = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                        yield pa.RecordBatch.from_arrays([*rest.columns, marks], [*rest.schema.names, hit])
-
-        return run
-
-    def cut(b, found):
-        if not any(found):
-            return b
-        texts, keep = b.column(at).to_pylist(), []
-        for i, spans in enumerate(found):
-            keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(words_of(texts[i])))
-            if spans and keep[-1]:
-                texts[i] = cut_words(texts[i], spans)
-        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep))
-
-    out = docs
-    for k, (automaton, n) in enumerate(_automata(benchmark, item_col, item_text_col, window, block_words)):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(mapper(sent, k == 0, k + 1 == n), schema if k + 1 == n else wide)
-        if n > 1:
-            out = written(out, "marked")
-            sent.unpersist()
-    return out
+    at = docs.columns.index(text_col)
+    names = _automata(benchmark, item_col, item_text_col, window, block_words)
+
+    def run(batches):
+        for b, texts, found in _search(batches, at, names, window, group_bytes):
+            if not any(f[1] for f in found):
+                yield b
+                continue
+            keep = []
+            for i, (n, spans, _) in enumerate(found):
+                keep.append(sum(e - s for s, e in spans) <= max_coverage * n)
+                if spans and keep[-1]:
+                    texts[i] = cut_words(texts[i], spans)
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

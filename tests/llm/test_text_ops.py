@@ -286,6 +286,21 @@ def test_decontamination_equals_brute_force(spark, block):
             assert len(decontam.words_of(cleaned[i])) == r["n_words"] - n
 
 
+def test_texts_pass_the_blocks_in_groups(spark):
+    words = [f"w{i}" for i in range(400)]
+    b = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(0, 380, 20)], "item_id bigint, text string")
+    d = docs(spark, [" ".join(words[i : i + 30]) for i in range(0, 370, 3)])
+    want = decontam.match(d, b).orderBy("doc_id").collect()
+    assert sum(len(r["items"]) for r in want) > 50
+    for size in (1, 2_000, 1 << 30):
+        found = decontam.match(d, b, block_words=40, group_bytes=size)
+        assert found.orderBy("doc_id").collect() == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        cleaned = {r["doc_id"]: r["text"] for r in decontam.clean(d, b, block_words=40, group_bytes=size).collect()}
+        assert cleaned == {r["doc_id"]: r["text"] for r in decontam.clean(d, b).collect()}
+
+
 def test_decontamination_edges(spark):
     d, b = docs(spark, EDGES), spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.digest(decontam.match(d, b)).where("contaminated").count() == 0
