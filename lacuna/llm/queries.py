@@ -87,10 +87,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+    from lacuna.llm import pipeline
 
     own = (op1_pii, op2_quality, op3_orc_tokens, op4_itq, op5_simhash, op6_warc, op7_html, op8_decontam, op9_bpe, op10_urls)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 OP4_SQL = """
