@@ -36,19 +36,20 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None, alike: bool = False) -> DataFrame:
     """``rows`` with the columns of ``keyed``, a written table of one row per key and ``count``, how many rows have it.
 
     A key may hold any share of the rows. Those that hold more than one in ``HOT_KEYS`` are at most ``HOT_KEYS``, so
     they are broadcast, whatever the size of the tables, and their rows stay where they are; all others are joined by
     a shuffle, in which no key is hot. Rows whose key is null have no match (``how``: "inner" drops them, "left" not).
+    With ``alike`` that join is planned as a shuffle at every size, for large rows whose cost should grow evenly.
     """
     if total is None:
         total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     is_hot = F.col(count) * HOT_KEYS > total
     hot, rest = keyed.where(is_hot).drop(count), keyed.where(~is_hot).drop(count)
     others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    out = rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key, how))
+    out = rows.join(F.broadcast(hot), key).unionByName(others.join(rest.hint("shuffle_hash") if alike else rest, key, how))
     if how == "left":
         out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
     return out

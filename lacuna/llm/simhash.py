@@ -238,9 +238,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kept = written(kept.select(F.struct("id", "hash").alias(key), F.col("rows").alias("_rows"), F.col("rows").alias("_n")), "kept")
     keyed = docs.select(*own, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("hash")).alias(key))
     if kept.where("_rows > 1").isEmpty():
-        return join_counted(keyed, kept.select(key, "_n"), key, "_n").select(*own)
+        return join_counted(keyed, kept.select(key, "_n"), key, "_n", alike=True).select(*own)
     rows, many = free_name("_rows", docs.columns), free_name("_many", docs.columns)
-    met = join_counted(keyed, kept.withColumnRenamed("_rows", many) if many != "_rows" else kept, key, "_n")
+    met = join_counted(keyed, kept.withColumnRenamed("_rows", many) if many != "_rows" else kept, key, "_n", alike=True)
     whole = F.struct(*own)
     first = met.where(F.col(many) > 1).groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(rows))
     return met.where(F.col(many) == 1).select(*own).union(first.select(*[F.col(f"{rows}.`{c}`") for c in docs.columns]))
