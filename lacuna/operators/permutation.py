@@ -21,6 +21,8 @@ MULTIPLIER = 0x2545F4914F6CDD1D
 SWEEPS = 20
 #: Incidences and pairs that a permutation may hold in a worker.
 MAX_INCIDENCES = 20_000_000
+#: Documents times labels up to which who holds what is a table, a byte each.
+MAX_CELLS = 1 << 28
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -52,7 +54,7 @@ def jump(state: int, steps: int) -> int:
     return state
 
 
-def draws(state: int, count: int, lanes: int = 256) -> np.ndarray:
+def draws(state: int, count: int, lanes: int = 1024) -> np.ndarray:
     """The next ``count`` numbers of the generator from ``state``: many stretches of the stream side by side."""
     length = -(-count // lanes)
     power, steps = [step(1 << i) for i in range(64)], length
@@ -75,35 +77,91 @@ def draws(state: int, count: int, lanes: int = 256) -> np.ndarray:
     return out.T.ravel()[:count]
 
 
+def _holds(doc: np.ndarray, label: np.ndarray, lab: np.ndarray):
+    """A test whether documents hold labels, and how to tell it of a swap; ``lab`` is changed in place by the caller.
+
+    A table of all documents and labels where that is small, else the labels of a document one after the other.
+    """
+    docs, labels = int(doc[-1]) + 1, int(label.max()) + 1
+    if docs * labels <= MAX_CELLS:
+        cells = np.zeros(docs * labels, bool)
+        cells[doc * labels + label] = True
+
+        def holds(d, x):
+            return cells[d * labels + x]
+
+        def swap(d, x, y):
+            cells[d * labels + x] = False
+            cells[d * labels + y] = True
+
+        return holds, swap
+    begin = np.searchsorted(doc, np.arange(docs + 1))
+
+    def holds(d, x):
+        out = np.zeros(len(d), bool)
+        at, end, rest = begin[d], begin[d + 1], np.arange(len(d))
+        while len(rest):
+            open_ = at < end
+            rest, at, end = rest[open_], at[open_], end[open_]
+            out[rest] |= lab[at] == x[rest]
+            at = at + 1
+        return out
+
+    return holds, lambda d, x, y: None
+
+
 def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
     """The labels of incidences (document, label) after the attempted swaps: each swaps two labels between two
-    documents, unless one of them would have a label twice."""
+    documents, unless one of them would have a label twice. ``doc`` is sorted, without gaps.
+
+    A swap reads and writes its two documents alone. So of a run of swaps, all that are the first to touch both of
+    their documents are done at once, and those left go before the next run: the outcome is that of one by one.
+    """
     m = len(doc)
-    lab, docs = label.tolist(), doc.tolist()
-    held: list[set[int]] = [set() for _ in range(docs[-1] + 1 if m else 0)]
-    for d, x in zip(docs, lab, strict=True):
-        held[d].add(x)
-    left, at = SWEEPS * m, state
+    lab = label.astype(np.int64)
+    if not m:
+        return lab
+    docs = int(doc[-1]) + 1
+    holds, swap = _holds(doc, label, lab)
+    # Few swaps of a run then touch a document that an earlier one touches, the one of most labels included.
+    run = max(1, min(docs // 8, m // int(np.bincount(doc).max())))
+    first = np.empty(docs, np.int64)
+
+    def done(i, j, d, e):
+        """Do the swaps that wait for none before them; the others, in their order."""
+        order = np.arange(len(i))
+        # Told from the last to the first, the first that touches a document is what stays.
+        touched = np.empty(2 * len(i), np.int64)
+        touched[::2], touched[1::2] = e[::-1], d[::-1]
+        first[touched] = np.repeat(order[::-1], 2)
+        ready = (first[d] == order) & (first[e] == order)
+        p, q, g, h = i[ready], j[ready], d[ready], e[ready]
+        x, y = lab[p], lab[q]
+        free = np.flatnonzero((x != y) & ~holds(g, y) & ~holds(h, x))
+        p, q, g, h, x, y = p[free], q[free], g[free], h[free], x[free], y[free]
+        swap(g, x, y)
+        swap(h, y, x)
+        lab[p], lab[q] = y, x
+        wait = np.flatnonzero(~ready)
+        return i[wait], j[wait], d[wait], e[wait]
+
+    left, at, rest = SWEEPS * m, state, (np.empty(0, np.int64),) * 4
     while left:
-        n = min(left, 500_000)
-        both = (draws(at, 2 * n) % np.uint64(m)).tolist()
-        for i, j in zip(both[::2], both[1::2], strict=True):
-            x, y = lab[i], lab[j]
-            if x == y:
-                continue
-            d, e = docs[i], docs[j]
-            one, two = held[d], held[e]
-            if d == e or y in one or x in two:
-                continue
-            lab[i], lab[j] = y, x
-            one.remove(x)
-            one.add(y)
-            two.remove(y)
-            two.add(x)
+        n = min(left, 1_000_000)
+        both = (draws(at, 2 * n) % np.uint64(m)).astype(np.int64).reshape(n, 2)
+        for begin in range(0, n, run):
+            i, j = both[begin : begin + run].T
+            d, e = doc[i], doc[j]
+            apart = np.flatnonzero(d != e)  # a swap within a document changes nothing
+            rest = done(*(np.concatenate([x, y[apart]]) for x, y in zip(rest, (i, j, d, e), strict=True)))
+            while len(rest[0]) > run:
+                rest = done(*rest)
         left -= n
         if left:
             at = jump(at, 2 * n)
-    return np.array(lab, dtype=np.int64)
+    while len(rest[0]):
+        rest = done(*rest)
+    return lab
 
 
 def counted(doc: np.ndarray, label: np.ndarray, labels: int, wanted: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import pytest
 from lacuna.functions.ranks import auroc, auroc_stratified, empirical_p, precision_at
 from lacuna.operators import backtest as bt
 from lacuna.operators.evaluate import evaluable, evaluate, pseudo_random, scores
+from lacuna.operators import permutation
 from lacuna.operators.permutation import MULTIPLIER, NULL_SEED, SWEEPS, counted, draws, jump, shuffled, step
 from lacuna.params import CONCEPTS, LabelFilter
 from tests.corpora import frame, work
@@ -155,6 +156,19 @@ def test_shuffle_keeps_margins():
     assert len(shuffled(np.zeros(0, np.int64), np.zeros(0, np.int64), NULL_SEED)) == 0
 
 
+def test_shuffle_is_that_of_one_swap_after_the_other(monkeypatch):
+    rng = np.random.default_rng(3)
+    for works, labels, most in ((1, 5, 4), (2, 5, 4), (60, 12, 9), (400, 60, 20)):
+        docs = [sorted(rng.choice(labels, rng.integers(1, most), replace=False).tolist()) for _ in range(works)]
+        docs[-1] = list(range(labels))  # one work of all labels
+        doc, label = np.repeat(np.arange(works), [len(d) for d in docs]), np.concatenate(docs)
+        want = [x for d in plain_shuffle(docs, NULL_SEED) for x in d]
+        for cells in (permutation.MAX_CELLS, 0):
+            monkeypatch.setattr(permutation, "MAX_CELLS", cells)
+            assert shuffled(doc, label, NULL_SEED).tolist() == want
+        monkeypatch.undo()
+
+
 def test_draws_are_the_stream():
     x, want = NULL_SEED, []
     for _ in range(1000):
