@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lacuna.params import SNIPPET_RADIUS as RADIUS
+
 SPLIT, TOP = 1998, 20
 _ID = "https://openalex.org/"
 
@@ -119,15 +121,17 @@ lab AS MATERIALIZED (SELECT label_id, count(*) AS works, 2 AS level FROM inc GRO
 co AS MATERIALIZED (SELECT s.label_id AS a, t.label_id AS b, count(*) AS observed FROM inc s JOIN inc t ON s.ord = t.ord AND s.label_id < t.label_id
   WHERE s.label_id IN (SELECT label_id FROM lab WHERE works >= 5) AND t.label_id IN (SELECT label_id FROM lab WHERE works >= 5) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
-txt AS MATERIALIZED (SELECT doc_id AS ord, list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ')) AS ws
-  FROM documents WHERE instr(text, chr(10)) > 0 AND substr(text, instr(text, chr(10)) + 1) <> '')"""
+txt AS MATERIALIZED (SELECT ord, s, list_distinct(string_split(trim(s), ' ')) AS ws FROM (
+  SELECT doc_id AS ord, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) || ' ' AS s
+  FROM documents WHERE instr(text, chr(10)) > 0 AND substr(text, instr(text, chr(10)) + 1) <> ''))"""
 
 
-def verified(top: int | None) -> str:
-    """The first ``top`` pairs, or all of them, checked against the texts."""
+def verified(top: int | None, aliases: tuple[tuple[str, str], ...] = ()) -> str:
+    """The first ``top`` pairs, or all of them, checked against the texts; aliases are (label, phrase)."""
+    more = "".join(f" UNION SELECT ord, '{label}' FROM txt WHERE contains(s, ' {phrase} ')" for label, phrase in aliases)
     return f"""{DOCS}, {gaps('', 5)},
 best AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, * FROM gap ORDER BY {_ORDER} {f"LIMIT {top}" if top else ""}),
-hit AS MATERIALIZED (SELECT DISTINCT ord, w AS label_id FROM (SELECT ord, unnest(ws) AS w FROM txt) WHERE w IN (SELECT label_id_a FROM best UNION SELECT label_id_b FROM best)),
+hit AS MATERIALIZED (SELECT DISTINCT ord, w AS label_id FROM (SELECT ord, unnest(ws) AS w FROM txt{more}) WHERE w IN (SELECT label_id_a FROM best UNION SELECT label_id_b FROM best)),
 ht AS (SELECT label_id, count(*) AS t FROM hit GROUP BY label_id),
 bo AS (SELECT rank, count(*) AS o FROM best JOIN hit s ON s.label_id = label_id_a JOIN hit t ON t.label_id = label_id_b AND t.ord = s.ord GROUP BY rank),
 ver AS MATERIALIZED (SELECT rank, label_id_a AS concept_a, label_id_b AS concept_b, expected, observed AS tag_observed, coalesce(p.t, 0) AS text_a, coalesce(q.t, 0) AS text_b,
@@ -137,6 +141,33 @@ vt AS MATERIALIZED (SELECT *, CASE WHEN text_expected > 0 THEN text_observed / t
   CASE WHEN text_expected < 3 THEN 'unverifiable' WHEN text_observed = 0 THEN 'absent_in_text' ELSE 'co_mentioned' END AS verdict FROM ver)"""
 
 
+# Orders as works that share an id by customer and year: (id, the work's reference inside or outside the corpus).
+YEARLY = """y AS MATERIALIZED (SELECT 'C-' || o_custkey || '-' || year(o_orderdate) AS id, 'C-' || o_custkey || '-' || (year(o_orderdate) - 1) AS prev, 'X' || o_orderkey AS other, year(o_orderdate) AS year, o_orderkey AS k FROM orders),
+edges AS MATERIALIZED (SELECT DISTINCT id AS src, prev AS dst FROM y WHERE prev IN (SELECT id FROM y))"""
+
+# The pseudo-random score of pairs (a, b): a hash by bytes, modulo 2^64 in numbers of 128 bits.
+_HASH = f"""list_reduce(list_prepend({0x6E65747363690001}::HUGEINT, list_transform(string_split(a || '|' || b, ''), lambda c: unicode(c)::HUGEINT)), lambda x, y: (xor(x, y) * {0x100000001B3}::HUGEINT) % {1 << 64}::HUGEINT)"""
+_RANDOM = f"({_HASH} // 2048)::DOUBLE / {1 << 53}::DOUBLE"
+
+
+def evaluation(label: str) -> str:
+    """All scorers' figures without a null; ``label`` tells what counts as positive."""
+    rank = lambda sign, positive, name: f"""{name}t AS (SELECT scorer, {sign}score AS s, count(*) AS n, count(*) FILTER ({positive}) AS p FROM every GROUP BY ALL),
+{name}c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY scorer ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}t),
+{name} AS (SELECT scorer, round(sum(p * slots / n) / nullif(sum(slots), 0), 6) AS v FROM (SELECT scorer, p, n, least(n, greatest({TOP} - before, 0)) AS slots FROM {name}c) GROUP BY scorer)"""
+    return scored(f""",
+every AS MATERIALIZED (SELECT label_id_a, label_id_b, place, m, scorer, score, {label} AS label FROM (
+  SELECT label_id_a, label_id_b, place, m, scorer, score FROM long UNION ALL
+  SELECT a, b, place, m, 'random', {_RANDOM} FROM (SELECT label_id_a AS a, label_id_b AS b, place, m FROM ev)) JOIN (SELECT label_id_a, label_id_b, test_observed, test_lift FROM ev) USING (label_id_a, label_id_b)),
+au AS MATERIALIZED ({auroc("every", "scorer")}),
+st AS (SELECT scorer, sum(auroc * rows) / sum(CASE WHEN auroc IS NOT NULL THEN rows END) AS v FROM ({auroc("(SELECT *, floor(((place + 1) * 10 - 1) / m) AS stratum FROM every)", "scorer, stratum")}) GROUP BY scorer),
+{rank("", "label", "hi")}, {rank("-", "NOT label", "lo")},
+all_n AS (SELECT count(*) AS pairs, count(*) FILTER (label) AS positives FROM every WHERE scorer = 'lift')
+SELECT scorer, pairs, positives, round(positives / pairs, 6) AS base_rate, round(auroc, 6) AS auroc, round(st.v, 6) AS auroc_stratified,
+  CASE WHEN scorer <> 'lift' THEN round((SELECT auroc FROM au WHERE scorer = 'lift') - auroc, 6) END AS delta, hi.v AS precision_at_k, lo.v AS gap_precision_at_k, 0::BIGINT AS permutations, least({TOP}, pairs)::BIGINT AS k
+FROM au JOIN st USING (scorer) JOIN hi USING (scorer) JOIN lo USING (scorer) CROSS JOIN all_n""")
+
+
 def oracle_sql() -> dict[str, str]:
     one = f"WITH {BASE}, {graph()}"
     every = f"{one}, {gaps()}"
@@ -181,6 +212,10 @@ SELECT (SELECT count(*) FROM orders) AS works, min(year)::INTEGER AS year_min, m
   (SELECT count(DISTINCT label_id) FROM t) AS topics, (SELECT count(DISTINCT label_id) FROM c) AS concepts, 0::BIGINT AS abstracts FROM works, e""",
         "citation_edges": f"WITH {REFS} SELECT src, dst FROM edges",
         "in_degree": f"WITH {REFS} SELECT id, count(src) AS in_corpus_citations FROM nodes LEFT JOIN edges ON dst = id GROUP BY id",
+        "citation_edges_yearly": f"WITH {YEARLY} SELECT src, dst FROM edges",
+        "in_degree_yearly": f"WITH {YEARLY} SELECT id, count(src) AS in_corpus_citations FROM (SELECT DISTINCT id FROM y) LEFT JOIN edges ON dst = id GROUP BY id",
+        "stats_yearly": f"""WITH {YEARLY}, r AS (SELECT id, prev FROM y UNION SELECT id, other FROM y), e AS (SELECT count(*) AS e FROM edges), t AS (SELECT count(*) AS t FROM r)
+SELECT count(DISTINCT id) AS works, min(year)::INTEGER AS year_min, max(year)::INTEGER AS year_max, any_value(e) AS internal_edges, any_value(t) AS total_references, round(any_value(e) / any_value(t), 9) AS internal_ratio, 0::BIGINT AS topics, 0::BIGINT AS concepts, count(*) FILTER (k % 3 = 0) AS abstracts FROM y, e, t""",
         "pagerank_orders": f"WITH {REFS}, {pagerank(60)} SELECT id, round(r, 9) AS pagerank FROM r60",
         "pagerank_parts": f"""WITH ln AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), edges AS MATERIALIZED (SELECT DISTINCT s.l_partkey AS src, t.l_partkey AS dst FROM ln s JOIN ln t ON s.l_orderkey = t.l_orderkey AND t.l_linenumber = s.l_linenumber + 1 WHERE s.l_partkey <> t.l_partkey),
 nodes AS MATERIALIZED (SELECT p_partkey AS id FROM part), {pagerank(40)} SELECT id, round(r, 8) AS pagerank FROM r40""",
@@ -198,6 +233,14 @@ SELECT doc_id, sha256(s) AS digest, length(s) AS n FROM u""",
         "label_terms": "SELECT p_partkey, ' ' || lower(trim(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', ' ', 'g'))) || ' ' AS term FROM part",
         "title_cut": "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS title FROM documents",
         "text_hits_words": f"WITH {DOCS} SELECT w AS label_id, count(*) AS works FROM (SELECT ord, unnest(ws) AS w FROM txt) WHERE w IN (SELECT label_id FROM lab WHERE works >= 5) GROUP BY w",
+        "text_hits_phrases": f"""WITH {DOCS}, p(label_id, phrase) AS (VALUES ('en', 'of the'), ('en', 'to the'), ('de', 'und der'), ('fr', 'de la'), ('one', 'that'), ('one', 'is to'), ('one', 'and a'))
+SELECT label_id, count(DISTINCT ord) AS works FROM txt JOIN p ON contains(s, ' ' || phrase || ' ') GROUP BY label_id""",
+        "verify_aliases": f"WITH {verified(TOP, (('that', 'of the'), ('with', 'in the'), ('pour', 'de la')))} SELECT * FROM vt",
+        # What stands ``RADIUS`` bytes before a word and twice as many from it on, widened to whole characters.
+        "snippets": f"""WITH {DOCS}, f AS (SELECT ord, s, least(coalesce(nullif(instr(s, ' that '), 0), 1e9), coalesce(nullif(instr(s, ' with '), 0), 1e9))::BIGINT AS p FROM txt),
+c AS (SELECT ord, p, right(substr(s, 1, p - 1), {RADIUS}) AS l, substr(s, p, {2 * RADIUS}) AS r FROM f)
+SELECT ord, CASE WHEN p = 1e9 THEN '' ELSE '…' || trim(right(l, coalesce(list_filter(range(0, {RADIUS + 1}), lambda n: strlen(right(l, n)) >= {RADIUS})[1], {RADIUS})) ||
+  left(r, coalesce(list_filter(range(0, {2 * RADIUS + 1}), lambda n: strlen(left(r, n)) >= {2 * RADIUS})[1], {2 * RADIUS}))) || '…' END AS snippet FROM c""",
         "verify_top": f"WITH {verified(TOP)} SELECT * FROM vt",
         "evidence_sample": f"""WITH {DOCS}, h AS MATERIALIZED (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS p, count(*) OVER () AS total FROM txt WHERE list_contains(ws, 'that') AND list_contains(ws, 'with')),
 k AS (SELECT *, (p * 10 + total - 1) // total AS k FROM h)
@@ -216,10 +259,9 @@ FROM pairs WHERE observed = 0 ORDER BY 1 LIMIT {TOP}""",
         "scorer_common_neighbors": score("common_neighbors"),
         "scorer_adamic_adar": score("adamic_adar"),
         "scorer_jaccard": score("jaccard"),
-        # The hash by bytes, modulo 2^64 in numbers of 128 bits.
-        "scorer_random": f"""WITH {split_graphs()}, ev AS (SELECT label_id_a AS a, label_id_b AS b FROM pairs WHERE test_expected >= 3),
-h AS (SELECT a, b, list_reduce(list_prepend({0x6E65747363690001}::HUGEINT, list_transform(string_split(a || '|' || b, ''), lambda c: unicode(c)::HUGEINT)), lambda x, y: (xor(x, y) * {0x100000001B3}::HUGEINT) % {1 << 64}::HUGEINT) AS h FROM ev)
-SELECT a AS label_id_a, b AS label_id_b, round((h // 2048)::DOUBLE / {1 << 53}::DOUBLE, 9) AS score FROM h""",
+        "scorer_random": f"WITH {split_graphs()}, ev AS (SELECT label_id_a AS a, label_id_b AS b FROM pairs WHERE test_expected >= 3) SELECT a AS label_id_a, b AS label_id_b, round({_RANDOM}, 9) AS score FROM ev",
+        "evaluate_scorers": evaluation("test_observed > 0"),
+        "evaluate_scorers_above_chance": evaluation("coalesce(test_lift >= 1, false)"),
         "auroc_by_scorer": scored(f" SELECT scorer, round(auroc, 6) AS auroc FROM ({auroc('long', 'scorer')})"),
         "auroc_strata": scored(f" SELECT scorer, round(sum(auroc * rows) / sum(CASE WHEN auroc IS NOT NULL THEN rows END), 6) AS auroc_stratified FROM ({strata}) GROUP BY scorer"),
         "precision_at_k": precision("", "label"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.ranks import auroc, auroc_stratified, precision_at
-from lacuna.functions.text import label_term, normalise, snippet_udf, truncated
+from lacuna.functions.text import label_term, normalise, snippet_udf, terms_of, truncated
 from lacuna.operators import backtest as bt
 from lacuna.operators import citations as ct
 from lacuna.operators import derived
@@ -171,6 +171,33 @@ def in_degree(spark, d):
     return ct.in_degree(basket_works(spark, d, references=True))
 
 
+def yearly_works(spark, d) -> DataFrame:
+    """Orders as works that share the id of their customer and year. Each refers to itself, twice to the year before,
+    which may be outside the corpus, and to an id that no work has; every third has an abstract."""
+    o = read(spark, d, "orders")
+    name = lambda year: F.concat_ws("-", F.lit("C"), F.col("o_custkey").cast("string"), year.cast("string"))
+    year, none = F.year("o_orderdate"), {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in WORKS.fields}
+    refs = F.array(name(year), name(year - 1), F.concat(F.lit("X"), F.col("o_orderkey").cast("string")), name(year - 1))
+    own = {"ord": F.col("o_orderkey").cast("bigint"), "id": name(year), "year": year, "referenced_works": refs, "abstract": F.when(F.col("o_orderkey") % 3 == 0, F.lit("text"))}
+    return o.select(*[own[f].alias(f) if f in own else none[f] for f in WORKS.fieldNames()])
+
+
+@query
+def citation_edges_yearly(spark, d):
+    """Edges where ids repeat and references go outside, to the work itself, or come twice."""
+    return ct.citation_edges(yearly_works(spark, d))
+
+
+@query
+def in_degree_yearly(spark, d):
+    return ct.in_degree(yearly_works(spark, d))
+
+
+@query
+def stats_yearly(spark, d):
+    return rounded(ct.stats(yearly_works(spark, d)), "internal_ratio", digits=9)
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -246,6 +273,28 @@ def word_graph(spark, d):
     return works, label_graph(works, WORDS)
 
 
+#: Labels whose phrases are of several words, one with a qualifier, and phrases that stand for labels too.
+PHRASES = (("en", "Of the (grammar)"), ("de", "und der"), ("fr", "de la"), ("one", "that"))
+PHRASE_ALIASES = (("of the (GRAMMAR)", "to the"), ("That", "is to"), ("that", "and  a"), ("nobody", "of"))
+#: Aliases of words that are labels of the documents.
+WORD_ALIASES = (("THAT", "of the"), ("with", "in the"), ("pour", "de la"))
+
+
+@query
+def text_hits_phrases(spark, d):
+    """Documents in which a phrase or an alias of a label stands."""
+    labels = spark.createDataFrame(list(PHRASES), "label_id string, name string")
+    hits = text_hits(texts(document_works(spark, d)), terms_of(labels, list(PHRASE_ALIASES)))
+    return hits.groupBy("label_id").agg(F.count("*").alias("works"))
+
+
+@query
+def verify_aliases(spark, d):
+    """The top gaps checked with aliases, some of two words."""
+    works, graph = word_graph(spark, d)
+    return verify_gaps(works, graph, 5, TOP, list(WORD_ALIASES))
+
+
 @query
 def text_hits_words(spark, d):
     works, graph = word_graph(spark, d)
@@ -331,6 +380,20 @@ def gap_precision_at_k(spark, d):
     return rounded(precision_at(flipped, ["scorer"]), "precision")
 
 
+_MEASURES = ("base_rate", "auroc", "auroc_stratified", "delta", "precision_at_k", "gap_precision_at_k")
+
+
+@query
+def evaluate_scorers(spark, d):
+    """The evaluation of all scorers without its null."""
+    return rounded(evaluate(replay(spark, d), "co_tagged", TOP, permutations=0), *_MEASURES).select("scorer", "pairs", "positives", *_MEASURES, "permutations", "k")
+
+
+@query
+def evaluate_scorers_above_chance(spark, d):
+    return rounded(evaluate(replay(spark, d), "above_chance", TOP, permutations=0), *_MEASURES).select("scorer", "pairs", "positives", *_MEASURES, "permutations", "k")
+
+
 @query
 def evaluate_co_tagged(spark, d):
     return evaluate(replay(spark, d), "co_tagged", TOP, permutations=PERMUTATIONS)
