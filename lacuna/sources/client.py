@@ -112,7 +112,9 @@ def page_body(text: str) -> dict:
 class WorksDataSource(DataSource):
     """``spark.read.format("works_api")``: raw pages of one or more queries; each query's cursor chain is a partition.
 
-    Options: ``queries`` (one a line), ``filter``, ``limit``, ``url``, ``api_key``.
+    Options: ``queries`` (one a line), ``filter``, ``limit`` (works with an id, of each query), ``url``, ``api_key``.
+    A chain ends early, with the pages it has, where what is left to spend pays for no further request; one that has
+    no page by then fails. Nothing is cached: a task that is run again asks again, so write the pages before using them.
     """
 
     @classmethod
@@ -142,13 +144,22 @@ class WorksReader(DataSourceReader):
         return [QueryPartition(q) for q in self.options.get("queries", "").split("\n") if q.strip()]
 
     def read(self, partition):
+        if partition is None:  # no queries
+            return
         o = self.options
         client = HttpClient(o.get("api_key"), o.get("url", WORKS_URL))
         cursor, got, page, limit = "*", 0, 0, int(o.get("limit", 2000))
         while cursor is not None and got < limit:
-            fetched = client.fetch_page(partition.query, o.get("filter"), cursor)
+            try:
+                fetched = client.fetch_page(partition.query, o.get("filter"), cursor)
+            except BudgetExhausted:
+                if not page:
+                    raise
+                return
             body = page_body(fetched.body)
             if not body["results"]:
                 return
             yield partition.query, page, fetched.body
-            got, page, cursor = got + len(body["results"]), page + 1, (body.get("meta") or {}).get("next_cursor")
+            if fetched.remaining_usd is not None and fetched.remaining_usd < MIN_REMAINING_USD:
+                return
+            got, page, cursor = got + sum(r.get("id") is not None for r in body["results"]), page + 1, (body.get("meta") or {}).get("next_cursor")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.arrays import let
+from lacuna.sources.files import Folder
 from lacuna.sources.schema import ID_PREFIX, PAGE, REQUIRED, WORKS
 
 WORKS_FILE = "works.jsonl"
@@ -66,16 +66,17 @@ def write_works(works: DataFrame, path: str) -> None:
     works.orderBy("ord").drop("ord").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_works_file(rows, path: str) -> int:
-    """Works (dicts) as one file on the driver, replaced as a whole."""
+def write_works_file(rows, folder: Folder, name: str) -> int:
+    """Works (dicts) as one file of a folder, line by line from the driver, replaced as a whole; how many they are."""
     n = 0
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+
+    def lines():
+        nonlocal n
         for row in rows:
-            f.write(json.dumps(row, ensure_ascii=False) + "\n")
             n += 1
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.tmp", path)
+            yield json.dumps(row, ensure_ascii=False) + "\n"
+
+    folder.replace(name, lines())
     return n
 
 

@@ -7,15 +7,14 @@ de-duplicated as a distributed job over the cached pages.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.sources.client import BudgetExhausted, page_body
+from lacuna.sources.client import MIN_REMAINING_USD, BudgetExhausted, page_body
 from lacuna.sources.corpus import WORKS_FILE, normalise_pages, number_rows, parse_pages, truncate_dedup, write_works_file
+from lacuna.sources.files import Folder
 
 QUERY_FILE, RAW = "query.json", "raw"
 #: 1: without abstracts, 2: with abstracts, 3: with topics.
@@ -50,47 +49,41 @@ class FetchParams:
         return (self.query, self.filter, self.schema) == (other.query, other.filter, other.schema)
 
 
-def page_path(data_dir: str, index: int) -> Path:
-    return Path(data_dir) / RAW / f"page-{index:04}.json"
+def page_path(index: int) -> str:
+    """Where a page is within the data folder."""
+    return f"{RAW}/page-{index:04}.json"
 
 
-def _replace(path: Path, text: str) -> None:
-    """Written beside and renamed, so that a file is never half written."""
-    tmp = path.with_name(path.name + ".tmp")
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, path)
-
-
-def check_manifest(data_dir: str, params: FetchParams) -> None:
+def check_manifest(folder: Folder, params: FetchParams) -> None:
     """Write the manifest, or make sure that cached pages are those of this query; the limit may change."""
-    path = Path(data_dir) / QUERY_FILE
-    cached = any((Path(data_dir) / RAW).glob("page-*.json"))
-    if not path.exists():
+    cached = folder.any(f"{RAW}/page-*.json")
+    if not folder.exists(QUERY_FILE):
         if cached:
-            raise OrphanCache(f"{data_dir} has cached pages but no {QUERY_FILE}; delete {RAW}/ or use another folder")
+            raise OrphanCache(f"{folder.path} has cached pages but no {QUERY_FILE}; delete {RAW}/ or use another folder")
     else:
-        said = json.loads(path.read_text(encoding="utf-8"))
+        said = json.loads(folder.read(QUERY_FILE))
         old = FetchParams(said["query"], said.get("filter"), said["limit"], said.get("schema", LEGACY_SCHEMA))
         if cached and not old.same_pages(params):
-            raise QueryMismatch(f"{path} is of another query ({old}, asked for {params}); use another folder")
+            raise QueryMismatch(f"{folder.of(QUERY_FILE)} is of another query ({old}, asked for {params}); use another folder")
         if old == params:
             return
-    _replace(path, json.dumps({"query": params.query, "filter": params.filter, "limit": params.limit, "schema": params.schema}, indent=2, ensure_ascii=False))
+    folder.replace(QUERY_FILE, [json.dumps({"query": params.query, "filter": params.filter, "limit": params.limit, "schema": params.schema}, indent=2, ensure_ascii=False)])
 
 
 def fetch(spark: SparkSession, client, data_dir: str, params: FetchParams) -> DataFrame:
-    """Fetch until ``limit`` works with an id are there, write the corpus, and give the one-row summary."""
-    (Path(data_dir) / RAW).mkdir(parents=True, exist_ok=True)
-    check_manifest(data_dir, params)
+    """Fetch until ``limit`` works with an id are there, write the corpus, and give the one-row summary.
+
+    On a cluster ``data_dir`` is a folder that executors share, as the cached pages are read by them.
+    """
+    folder = Folder(spark, data_dir)
+    check_manifest(folder, params)
     cursor, index, got, cached, cost, stopped, total = "*", 0, 0, 0, 0.0, False, None
     while cursor is not None and got < params.limit:
-        path = page_path(data_dir, index)
+        path = page_path(index)
         left = None
-        if path.exists():
-            text, hint = path.read_text(encoding="utf-8"), "; delete it and run again"
+        known = folder.exists(path)
+        if known:
+            text, hint = folder.read(path), "; delete it and run again"
         else:
             try:
                 page = client.fetch_page(params.query, params.filter, cursor)
@@ -104,31 +97,29 @@ def fetch(spark: SparkSession, client, data_dir: str, params: FetchParams) -> Da
         try:
             body = page_body(text)
         except ValueError as e:
-            raise BadPage(f"{path}: not a page of works{hint}") from e
-        if path.exists():
+            raise BadPage(f"{folder.of(path)}: not a page of works{hint}") from e
+        if known:
             cached += 1
         else:
-            _replace(path, text)
+            folder.replace(path, [text])
         index += 1
         meta = body.get("meta") or {}
         total = meta.get("count") if meta.get("count") is not None else total
         results = body["results"] or []
         got += sum(r.get("id") is not None for r in results)
         cursor = meta.get("next_cursor") if results else None
-        from lacuna.sources.client import MIN_REMAINING_USD
-
         if left is not None and left < MIN_REMAINING_USD and cursor is not None and got < params.limit:
             stopped = True
             break
     works = corpus_of(spark, data_dir, params.limit, index)
     rows = works.orderBy("ord").drop("ord")
-    n = write_works_file((r.asDict(recursive=True) for r in rows.toLocalIterator()), str(Path(data_dir) / WORKS_FILE))
+    n = write_works_file((r.asDict(recursive=True) for r in rows.toLocalIterator()), folder, WORKS_FILE)
     summary = (index, cached, index - cached, n, cost, stopped, min(got, params.limit) - n, total)
     return spark.createDataFrame([summary], SUMMARY)
 
 
 def corpus_of(spark: SparkSession, data_dir: str, limit: int, pages: int | None = None) -> DataFrame:
     """The works of the first cached pages."""
-    raw = parse_pages(spark, str(Path(data_dir) / RAW / "page-*.json"))
+    raw = parse_pages(spark, f"{data_dir}/{RAW}/page-*.json")
     raw = raw if pages is None else raw.where(F.col("page") < pages)
     return truncate_dedup(number_rows(normalise_pages(raw)), limit)

@@ -13,6 +13,7 @@ from lacuna.report import render
 from lacuna.sources import client as api
 from lacuna.sources import ingest
 from lacuna.sources.corpus import abstract_of, load_corpus, read_works, write_works
+from lacuna.sources.files import CHUNK, Folder
 from lacuna.sources.schema import ID_PREFIX
 from lacuna.streaming.pages import land
 from tests.corpora import frame, work
@@ -40,7 +41,7 @@ PAGES = {"*": page([1, 2], "c2"), "c2": page([2, 3], "c3"), "c3": page([4], None
 
 @pytest.mark.parametrize(
     ("index", "want"),
-    [({"the": [0, 3], "anode": [1], "and": [2], "cathode": [4]}, "the anode and the cathode"), ({"a": [0], "b": [5]}, "a b"), ({}, None), ({"a": []}, None), ({"a": [1 << 62]}, None), ({"b": [0], "a": [0]}, "b"), (None, None)],
+    [({"no": [0, 2], "rain": [1], "river": [3]}, "no rain no river"), ({"a": [0], "b": [5]}, "a b"), ({}, None), ({"a": []}, None), ({"a": [1 << 62]}, None), ({"b": [0], "a": [0]}, "b"), (None, None)],
 )
 def test_abstracts(spark, index, want):
     df = spark.createDataFrame([(index,)], T.StructType([T.StructField("x", T.MapType(T.StringType(), T.ArrayType(T.LongType())))]))
@@ -86,12 +87,12 @@ def test_bad_pages(spark, tmp_path):
 
 
 def test_normalised_fields(spark, tmp_path):
-    full = result(1, concepts=[{"id": f"{ID_PREFIX}C1", "display_name": "Anode", "level": 2, "score": 0.5}, {"id": "C2", "display_name": None, "level": 1, "score": 0.1}], topics=[{"id": "T1", "display_name": "T", "score": 0.9, "field": {"display_name": "Engineering"}}], abstract_inverted_index={"x": [0]})
+    full = result(1, concepts=[{"id": f"{ID_PREFIX}C1", "display_name": "Harbour", "level": 2, "score": 0.5}, {"id": "C2", "display_name": None, "level": 1, "score": 0.1}], topics=[{"id": "T1", "display_name": "T", "score": 0.9, "field": {"display_name": "Engineering"}}], abstract_inverted_index={"x": [0]})
     body = json.dumps({"results": [full, {"display_name": "no id"}]})
     ingest.fetch(spark, Fake({"*": body}), str(tmp_path), ingest.FetchParams("q"))
     w = load_corpus(spark, str(tmp_path)).collect()
     assert len(w) == 1
-    assert [tuple(c) for c in w[0]["concepts"]] == [("C1", "Anode", 2, 0.5)]
+    assert [tuple(c) for c in w[0]["concepts"]] == [("C1", "Harbour", 2, 0.5)]
     assert w[0]["topics"][0]["field"] == "Engineering"
     assert (w[0]["abstract"], w[0]["referenced_works"]) == ("x", ["W1"])
 
@@ -162,6 +163,36 @@ def test_client_errors():
         c.fetch_page("q", None, "*")
 
 
+def test_works_api_source(spark):
+    """Each query's pages until its limit, the end of its chain, or the end of the budget."""
+    spark.dataSource.register(api.WorksDataSource)
+    read = lambda url, queries, **more: spark.read.format("works_api").options(queries=queries, url=url, **more).load()
+    chain = [(200, {}, PAGES["*"]), (200, {}, PAGES["c2"]), (200, {}, PAGES["c3"])]
+    rows = read(Server(chain).url, "q").collect()  # one pass: a sort would ask twice
+    assert [(r["query"], r["page"], len(json.loads(r["body"])["results"])) for r in rows] == [("q", 0, 2), ("q", 1, 2), ("q", 2, 1)]
+    assert read(Server(chain).url, "q", limit="3").count() == 2
+    poor = {"x-ratelimit-remaining-usd": "0.001"}
+    assert read(Server([chain[0], (429, poor, "")]).url, "q").count() == 1
+    assert read(Server([(200, poor, PAGES["*"]), *chain]).url, "q").count() == 1
+    with pytest.raises(Exception, match="USD left"):
+        read(Server([(429, poor, "")]).url, "q").collect()
+    assert read("http://127.0.0.1:9", "").count() == 0
+
+
+def test_folder(spark, tmp_path):
+    for path in (str(tmp_path / "a b"), (tmp_path / "c").as_uri()):
+        f = Folder(spark, path)
+        assert not f.exists("x/y.json")
+        assert not f.any("x/*.json")
+        f.replace("x/y.json", ["é", "b" * CHUNK, "c"])
+        f.replace("x/y.json", ["é", "z\n"])
+        assert (f.read("x/y.json"), f.any("x/*.json"), f.any("x/*.tmp")) == ("éz\n", True, False)
+    assert [p.name for p in (tmp_path / "c" / "x").iterdir()] == ["y.json"]
+    with pytest.raises(ZeroDivisionError):
+        f.replace("x/y.json", (str(1 / i) for i in (1, 0)))
+    assert f.read("x/y.json") == "éz\n"
+
+
 def test_retry_delay_and_sanitiser():
     assert [api.retry_delay(i, None) for i in range(3)] == [1, 2, 4]
     assert (api.retry_delay(0, "99"), api.retry_delay(1, "Wed, 21 Oct 2015"), api.retry_delay(30, None)) == (60, 2, 60)
@@ -186,7 +217,7 @@ def cli_corpus(tmp_path):
     ]
     for r in rows:
         r["topics"] = [{"id": f"T-{t}", "name": t, "score": 0.9, "subfield": None, "field": None, "domain": None} for t in r["topics"]]
-        r |= {"cited_by_count": 1, "concepts": [{"id": "C1", "name": "Anode", "level": 2, "score": 0.5}], "abstract": None}
+        r |= {"cited_by_count": 1, "concepts": [{"id": "C1", "name": "Apple", "level": 2, "score": 0.5}], "abstract": None}
     (tmp_path / "works.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
 
 
@@ -214,7 +245,7 @@ def test_cli(spark, tmp_path, capsys):
     assert "no baseline" in err
     _, _, err = run(capsys, tmp_path, "verify", "--taxonomy", "topics", "--alias", "x=y")
     assert all(x in err for x in ("has an abstract", "fits no label", "long phrases"))
-    _, _, err = run(capsys, tmp_path, "evidence", "--a", "Anode", "--b", "Nothing")
+    _, _, err = run(capsys, tmp_path, "evidence", "--a", "Apple", "--b", "Nothing")
     assert "'Nothing' is not a label" in err
     code, _, err = run(capsys, tmp_path / "none", "stats")
     assert (code, "run fetch first" in err) == (1, True)
