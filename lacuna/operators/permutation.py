@@ -88,7 +88,7 @@ def _holds(doc: np.ndarray, label: np.ndarray, lab: np.ndarray):
         cells[doc * labels + label] = True
 
         def holds(d, x):
-            return cells[d * labels + x]
+            return cells.take(d * labels + x)
 
         def swap(d, x, y):
             cells[d * labels + x] = False
@@ -134,16 +134,16 @@ def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
         touched = np.empty(2 * len(i), np.int64)
         touched[::2], touched[1::2] = e[::-1], d[::-1]
         first[touched] = np.repeat(order[::-1], 2)
-        ready = (first[d] == order) & (first[e] == order)
-        p, q, g, h = i[ready], j[ready], d[ready], e[ready]
-        x, y = lab[p], lab[q]
+        ready = (first.take(d) == order) & (first.take(e) == order)
+        p, q, g, h = (c.take(np.flatnonzero(ready)) for c in (i, j, d, e))
+        x, y = lab.take(p), lab.take(q)
         free = np.flatnonzero((x != y) & ~holds(g, y) & ~holds(h, x))
-        p, q, g, h, x, y = p[free], q[free], g[free], h[free], x[free], y[free]
+        p, q, g, h, x, y = (c.take(free) for c in (p, q, g, h, x, y))
         swap(g, x, y)
         swap(h, y, x)
         lab[p], lab[q] = y, x
         wait = np.flatnonzero(~ready)
-        return i[wait], j[wait], d[wait], e[wait]
+        return tuple(c.take(wait) for c in (i, j, d, e))
 
     left, at, rest = SWEEPS * m, state, (np.empty(0, np.int64),) * 4
     while left:
@@ -151,9 +151,9 @@ def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
         both = (draws(at, 2 * n) % np.uint64(m)).astype(np.int64).reshape(n, 2)
         for begin in range(0, n, run):
             i, j = both[begin : begin + run].T
-            d, e = doc[i], doc[j]
+            d, e = doc.take(i), doc.take(j)
             apart = np.flatnonzero(d != e)  # a swap within a document changes nothing
-            rest = done(*(np.concatenate([x, y[apart]]) for x, y in zip(rest, (i, j, d, e), strict=True)))
+            rest = done(*(np.concatenate([x, y.take(apart)]) for x, y in zip(rest, (i, j, d, e), strict=True)))
             while len(rest[0]) > run:
                 rest = done(*rest)
         left -= n
