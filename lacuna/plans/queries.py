@@ -354,7 +354,7 @@ for _name, _scorer in (("scorer_lift", "lift"), ("scorer_cooccurrence", "cooccur
 
 
 def _scored(spark, d):
-    """Scores of evaluable pairs without the pseudo-random one, which has no SQL."""
+    """Scores of evaluable pairs without the pseudo-random one; ``evaluate_scorers`` has all of them."""
     result = replay(spark, d)
     return scores(cut(placed(evaluable(result))), result).where("scorer <> 'random'")
 
