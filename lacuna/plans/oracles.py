@@ -163,9 +163,10 @@ au AS MATERIALIZED ({auroc("every", "scorer")}),
 st AS (SELECT scorer, sum(auroc * rows) / sum(CASE WHEN auroc IS NOT NULL THEN rows END) AS v FROM ({auroc("(SELECT *, floor(((place + 1) * 10 - 1) / m) AS stratum FROM every)", "scorer, stratum")}) GROUP BY scorer),
 {rank("", "label", "hi")}, {rank("-", "NOT label", "lo")},
 all_n AS (SELECT count(*) AS pairs, count(*) FILTER (label) AS positives FROM every WHERE scorer = 'lift')
-SELECT scorer, pairs, positives, round(positives / pairs, 6) AS base_rate, round(auroc, 6) AS auroc, round(st.v, 6) AS auroc_stratified,
+SELECT scorer, pairs, positives, round(positives / nullif(pairs, 0), 6) AS base_rate, round(auroc, 6) AS auroc, round(st.v, 6) AS auroc_stratified,
   CASE WHEN scorer <> 'lift' THEN round((SELECT auroc FROM au WHERE scorer = 'lift') - auroc, 6) END AS delta, hi.v AS precision_at_k, lo.v AS gap_precision_at_k, 0::BIGINT AS permutations, least({TOP}, pairs)::BIGINT AS k
-FROM au JOIN st USING (scorer) JOIN hi USING (scorer) JOIN lo USING (scorer) CROSS JOIN all_n""")
+FROM (SELECT unnest(['lift', 'cooccurrence', 'preferential_attachment', 'common_neighbors', 'adamic_adar', 'jaccard', 'random']) AS scorer)
+  LEFT JOIN au USING (scorer) LEFT JOIN st USING (scorer) LEFT JOIN hi USING (scorer) LEFT JOIN lo USING (scorer) CROSS JOIN all_n""")
 
 
 def oracle_sql() -> dict[str, str]:
