@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +120,7 @@ def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
     their documents are done at once, and those left go before the next run: the outcome is that of one by one.
     """
     m = len(doc)
-    lab = label.astype(np.int64)
+    lab = label.copy()
     if not m:
         return lab
     docs = int(doc[-1]) + 1
@@ -196,6 +198,37 @@ def _twice_midranks(sorted_scores: np.ndarray) -> np.ndarray:
     return np.repeat(2 * first + size + 1, size)
 
 
+def label_lists(documents: DataFrame, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sets of labels that works have, in their order: labels as places in the sorted ``ids``, one set after
+    the other, the sets' sizes, and how many works have each. Works are numbered, grouped and ordered by Spark; the driver
+    holds four bytes for each label of a distinct set."""
+    sent = documents.sparkSession.sparkContext.broadcast(ids)
+
+    def number(batches):
+        for b in batches:
+            names = b.column(0)
+            places = pc.index_in(names.flatten().cast(sent.value.type), sent.value).cast(pa.int32())
+            sizes = np.asarray(pc.list_value_length(names), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), places)], ["labels"])
+
+    names = documents.where(F.size("labels") > 0).select(F.transform("labels", lambda l: l["label_id"]).alias("labels"))  # noqa: E741
+    sets = names.mapInArrow(number, "labels array<int>").select(F.sort_array("labels").alias("labels"))
+    # No work has a label twice.
+    got = sets.groupBy("labels").agg(F.count("*").cast("int").alias("works")).orderBy("labels").toArrow()
+    lists = got["labels"].combine_chunks()
+    return np.asarray(lists.flatten(), np.int32), np.asarray(pc.list_value_length(lists), np.int32), got["works"].to_numpy()
+
+
+def incidences(values: np.ndarray, sizes: np.ndarray, works: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, label) of each incidence of ``label_lists``, sorted."""
+    n = np.repeat(sizes, works)
+    begin = np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), works)
+    ends = np.cumsum(n, dtype=np.int32)
+    at = np.repeat(begin - (ends - n), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), values[at]
+
+
 def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive: str, permutations: int) -> list[dict[str, float]]:
     """A row of AUROCs by scorer for each permutation whose labels have both classes."""
     spark = pairs.sparkSession
@@ -203,23 +236,22 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
     if n > MAX_INCIDENCES:
         raise ValueError(f"{n} incidences do not fit in a worker; choose a narrower label filter")
     # Independent of the order of the corpus: labels by id, documents by their labels.
-    ids = [r[0] for r in result.test.labels.select("label_id").orderBy("label_id").collect()]
-    number = {x: i for i, x in enumerate(ids)}
-    docs = sorted(sorted(number[x] for x in r[0]) for r in result.test.documents.where(F.size("labels") > 0).select(F.transform("labels", lambda l: l["label_id"])).collect())  # noqa: E741
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    label = np.array([x for d in docs for x in d], dtype=np.int64)
-    rows = pairs.select("place", "label_id_a", "label_id_b", "test_expected").collect()
-    code = {r["place"]: min(number[r["label_id_a"]], number[r["label_id_b"]]) * len(ids) + max(number[r["label_id_a"]], number[r["label_id_b"]]) for r in rows}
-    rows.sort(key=lambda r: code[r["place"]])
-    place = {r["place"]: i for i, r in enumerate(rows)}
-    table = np.zeros((len(SCORERS), len(rows)))
-    for r in scored.select("place", "scorer", "score").collect():
-        table[SCORERS.index(r["scorer"]), place[r["place"]]] = r["score"] + 0.0
-    codes = np.array([code[r["place"]] for r in rows], dtype=np.int64)
-    sent = spark.sparkContext.broadcast((doc, label, len(ids), codes, np.array([r["test_expected"] for r in rows]), table))
+    ids = result.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
+    lists = label_lists(result.test.documents, ids)
+    rows = pairs.select("place", "label_id_a", "label_id_b", "test_expected").toArrow()
+    a, b = (np.asarray(pc.index_in(rows[c].combine_chunks(), ids), np.int64) for c in ("label_id_a", "label_id_b"))
+    codes = np.minimum(a, b) * len(ids) + np.maximum(a, b)
+    order = np.argsort(codes)
+    at = np.empty(len(order), np.int64)  # of a pair by its place
+    at[rows["place"].to_numpy()[order]] = np.arange(len(order))
+    long = scored.select("place", "scorer", "score").toArrow()
+    table = np.zeros((len(SCORERS), len(order)))
+    table[np.asarray(pc.index_in(long["scorer"].combine_chunks(), pa.array(SCORERS))), at[long["place"].to_numpy()]] = long["score"].to_numpy() + 0.0
+    sent = spark.sparkContext.broadcast((lists, len(ids), codes[order], rows["test_expected"].to_numpy()[order], table))
 
     def run(batches):
-        doc, label, labels, codes, expected, table = sent.value
+        lists, labels, codes, expected, table = sent.value
+        doc, label = incidences(*lists)
         orders = [np.argsort(s, kind="stable") for s in table]
         ranks = [_twice_midranks(s[o]) for s, o in zip(table, orders, strict=True)]
         for pdf in batches:

@@ -214,3 +214,32 @@ def test_registered_permutations_can_give_a_win_and_a_loss(spark, monkeypatch):
     for name in ("evaluate_co_tagged", "evaluate_above_chance"):
         plans.queries()[name](spark, "")
     assert asked == [200, 200, 200]
+
+
+def test_label_sets_of_works_are_grouped_before_the_driver(spark, monkeypatch):
+    """A row for each distinct set of labels, ids numbered by their bytes, not one for each work; and the same incidences."""
+    names = ["b", "a", "ä", "Z", "𝄞", "ﬀ"]
+    sets = [names[: 1 + i % 3] for i in range(60)] + [["𝄞", "ﬀ", "ä"], ["Z"], []]
+    r = bt.backtest(frame(spark, [work(i, labels=s, year=2022) for i, s in enumerate(sets)]), CONCEPT, 2021, 3)
+    ids = r.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
+    number = {x: i for i, x in enumerate(ids.to_pylist())}
+    lists = permutation.label_lists(r.test.documents, ids)
+    assert sorted(lists[2].tolist()) == [1, 1, 20, 20, 20]
+    doc, label = permutation.incidences(*lists)
+    want = sorted(sorted(number[f"C-{x}"] for x in s) for s in sets if s)
+    assert doc.tolist() == [i for i, s in enumerate(want) for _ in s]
+    assert label.tolist() == [x for s in want for x in s]
+    # What reaches the driver: no row of a work.
+    fetched, kind = [], type(spark.range(0))
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, name, lambda df, f=getattr(kind, name): fetched.append(len(rows := f(df))) or rows)
+    pairs = spark.createDataFrame([(0, "C-a", "C-b", 3.0)], "place bigint, label_id_a string, label_id_b string, test_expected double")
+    scored = spark.createDataFrame([(0, "lift", 1.0)], "place bigint, scorer string, score double")
+    permutation.null_aurocs(pairs, scored, r, "co_tagged", 2)
+    assert 5 <= max(fetched) < 60
+
+
+def test_label_sets_of_no_work(spark):
+    r = bt.backtest(frame(spark, [work(1, labels="AB", year=2019)]), CONCEPT, 2021, 3)
+    ids = r.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
+    assert [len(x) for x in permutation.incidences(*permutation.label_lists(r.test.documents, ids))] == [0, 0]
