@@ -243,3 +243,21 @@ def test_label_sets_of_no_work(spark):
     r = bt.backtest(frame(spark, [work(1, labels="AB", year=2019)]), CONCEPT, 2021, 3)
     ids = r.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
     assert [len(x) for x in permutation.incidences(*permutation.label_lists(r.test.documents, ids))] == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["evaluate_above_chance", "wins", "evaluate_co_tagged"])
+def test_registered_evaluations_fetch_no_works(spark, monkeypatch, name):
+    """Whatever reaches the driver is of labels, pairs and scores: fewer rows than works of the test period."""
+    from lacuna.plans import queries as plans
+
+    sets = {2020: ["AB", "AB", "AD", "CB", "CD"], 2022: ["AB", "AC", "CD", "BD", "A"]}
+    works = [work(1000 * (year - 2019) + i, labels=s[i % 5], year=year) for year, s in sets.items() for i in range(200)]
+    r = bt.backtest(frame(spark, works), CONCEPT, 2021, 3)
+    fetched, kind = [], type(spark.range(0))
+    for f in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, f, lambda df, f=getattr(kind, f): fetched.append(len(rows := f(df))) or rows)
+    monkeypatch.setattr(plans, "replay", lambda *a: r)
+    monkeypatch.setattr(plans, "PERMUTATIONS", 2)
+    out = plans.queries()[name](spark, "").collect()
+    assert len(out) == (6 if name == "wins" else 7)
+    assert 5 <= max(fetched) < 100
