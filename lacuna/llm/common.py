@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.session import cut, drop_path, fresh_path, shared_dir, written  # noqa: F401  for the operators
+from lacuna.session import cut, drop_path, fresh_path, open_fs, shared_dir, written  # noqa: F401  for the operators
 
 #: Keys that hold more than one in so many rows are hot; there are never more of them than this.
 HOT_KEYS = 1_000
@@ -19,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path, and the path in it."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    if "://" not in path:
-        return pafs.LocalFileSystem(), path
-    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 def free_name(name: str, columns: list[str]) -> str:
     """``name``, longer by as many underscores as keep it apart from the columns."""
     taken = {c.lower() for c in columns}

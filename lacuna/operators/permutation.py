@@ -11,11 +11,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.backtest import Backtest
 from lacuna.params import SCORERS
+from lacuna.session import drop_path, fresh_path, open_fs
 
 # The generator's seed, multiplier and the swaps attempted per incidence.
 NULL_SEED = 0x6E756C6C73656564
@@ -198,11 +201,11 @@ def _twice_midranks(sorted_scores: np.ndarray) -> np.ndarray:
     return np.repeat(2 * first + size + 1, size)
 
 
-def label_lists(documents: DataFrame, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct sets of labels that works have, in their order: labels as places in the sorted ``ids``, one set after
-    the other, the sets' sizes, and how many works have each. Works are numbered, grouped and ordered by Spark; the driver
-    holds four bytes for each label of a distinct set."""
-    sent = documents.sparkSession.sparkContext.broadcast(ids)
+def label_sets(documents: DataFrame, ids: pa.Array) -> str:
+    """A folder with the distinct sets of labels that works have, as rows (labels, works) in their order: labels as places
+    in the sorted ``ids``, and how many works have the set. Works are numbered, grouped, ordered and written by tasks."""
+    spark = documents.sparkSession
+    sent = spark.sparkContext.broadcast(ids)
 
     def number(batches):
         for b in batches:
@@ -213,14 +216,34 @@ def label_lists(documents: DataFrame, ids: pa.Array) -> tuple[np.ndarray, np.nda
 
     names = documents.where(F.size("labels") > 0).select(F.transform("labels", lambda l: l["label_id"]).alias("labels"))  # noqa: E741
     sets = names.mapInArrow(number, "labels array<int>").select(F.sort_array("labels").alias("labels"))
+    path = fresh_path(spark, "label-sets")
     # No work has a label twice.
-    got = sets.groupBy("labels").agg(F.count("*").cast("int").alias("works")).orderBy("labels").toArrow()
-    lists = got["labels"].combine_chunks()
-    return np.asarray(lists.flatten(), np.int32), np.asarray(pc.list_value_length(lists), np.int32), got["works"].to_numpy()
+    sets.groupBy("labels").agg(F.count("*").cast("int").alias("works")).orderBy("labels").write.parquet(path)
+    return path
+
+
+def read_sets(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``label_sets`` wrote: labels, one set after the other, the sets' sizes, and how many works have each."""
+    fs, base = open_fs(path)
+    # The names of a write's files are in the order of its partitions.
+    names = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".parquet"))
+    values, sizes, works = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for name in names:
+        with fs.open_input_file(name) as f:
+            for b in pq.ParquetFile(f).iter_batches():
+                values.append(np.asarray(b["labels"].flatten(), np.int32))
+                sizes.append(np.asarray(pc.list_value_length(b["labels"]), np.int32))
+                works.append(np.asarray(b["works"], np.int32))
+    return np.concatenate(values), np.concatenate(sizes), np.concatenate(works)
+
+
+def label_lists(documents: DataFrame, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``label_sets`` as arrays, where they fit; the permutations read the folder in workers."""
+    return read_sets(label_sets(documents, ids))
 
 
 def incidences(values: np.ndarray, sizes: np.ndarray, works: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, label) of each incidence of ``label_lists``, sorted."""
+    """(document, label) of each incidence of ``read_sets``, sorted."""
     n = np.repeat(sizes, works)
     begin = np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), works)
     ends = np.cumsum(n, dtype=np.int32)
@@ -237,7 +260,7 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
         raise ValueError(f"{n} incidences do not fit in a worker; choose a narrower label filter")
     # Independent of the order of the corpus: labels by id, documents by their labels.
     ids = result.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
-    lists = label_lists(result.test.documents, ids)
+    path = label_sets(result.test.documents, ids)
     rows = pairs.select("place", "label_id_a", "label_id_b", "test_expected").toArrow()
     a, b = (np.asarray(pc.index_in(rows[c].combine_chunks(), ids), np.int64) for c in ("label_id_a", "label_id_b"))
     codes = np.minimum(a, b) * len(ids) + np.maximum(a, b)
@@ -247,11 +270,11 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
     long = scored.select("place", "scorer", "score").toArrow()
     table = np.zeros((len(SCORERS), len(order)))
     table[np.asarray(pc.index_in(long["scorer"].combine_chunks(), pa.array(SCORERS))), at[long["place"].to_numpy()]] = long["score"].to_numpy() + 0.0
-    sent = spark.sparkContext.broadcast((lists, len(ids), codes[order], rows["test_expected"].to_numpy()[order], table))
+    sent = spark.sparkContext.broadcast((path, len(ids), codes[order], rows["test_expected"].to_numpy()[order], table))
 
     def run(batches):
-        lists, labels, codes, expected, table = sent.value
-        doc, label = incidences(*lists)
+        path, labels, codes, expected, table = sent.value
+        doc, label = incidences(*read_sets(path))
         orders = [np.argsort(s, kind="stable") for s in table]
         ranks = [_twice_midranks(s[o]) for s, o in zip(table, orders, strict=True)]
         for pdf in batches:
@@ -266,4 +289,6 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
 
     tasks = max(1, min(permutations, spark.sparkContext.defaultParallelism))
     got = spark.range(0, permutations, 1, tasks).mapInPandas(run, "id bigint, " + ", ".join(f"{s} double" for s in SCORERS))
-    return [r.asDict() for r in got.orderBy("id").collect()]  # seven numbers for each permutation
+    rows = got.orderBy("id").collect()  # seven numbers for each permutation
+    drop_path(spark, path)
+    return [r.asDict() for r in rows]

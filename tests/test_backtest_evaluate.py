@@ -261,3 +261,30 @@ def test_registered_evaluations_fetch_no_works(spark, monkeypatch, name):
     out = plans.queries()[name](spark, "").collect()
     assert len(out) == (6 if name == "wins" else 7)
     assert 5 <= max(fetched) < 100
+
+
+@pytest.mark.parametrize("name", ["evaluate_above_chance", "wins"])
+def test_registered_evaluations_fetch_no_sets_of_labels(spark, monkeypatch, name):
+    """Works of which no two have the same labels: the driver still gets rows of labels, pairs and scores alone, and the
+    workers have every incidence."""
+    from itertools import combinations
+
+    from lacuna.operators.evaluate import EVALUATION
+    from lacuna.plans import queries as plans
+
+    sets = ["".join(s) for n in (1, 2, 3, 4) for s in combinations("ABCDEFGH", n)]
+    r = bt.backtest(frame(spark, [work(1000 * (year - 2019) + i, labels=s, year=year) for year in (2020, 2022) for i, s in enumerate(sets)]), CONCEPT, 2021, 3)
+    fetched, kind = [], type(spark.range(0))
+    for f in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, f, lambda df, f=getattr(kind, f): fetched.append(len(rows := f(df))) or rows)
+    monkeypatch.setattr(plans, "replay", lambda *a: r)
+    monkeypatch.setattr(plans, "PERMUTATIONS", 2)
+    out = plans.queries()[name](spark, "").collect()
+    assert len(out) == (6 if name == "wins" else 7)
+    assert len(out[0]) == (2 if name == "wins" else len(EVALUATION.split(", ")))
+    pairs = r.pairs.where("test_expected >= 3").count()
+    assert max(fetched) <= max(len("ABCDEFGH"), 7 * pairs) and len(sets) not in fetched
+    ids = r.test.labels.select("label_id").orderBy("label_id").toArrow()["label_id"].combine_chunks()
+    doc, label = permutation.incidences(*permutation.read_sets(permutation.label_sets(r.test.documents, ids)))
+    got = [tuple(label[doc == i].tolist()) for i in range(len(sets))]
+    assert got == sorted(tuple("ABCDEFGH".index(x) for x in s) for s in sets)
