@@ -7,6 +7,8 @@ by powers of the step's matrix. The stream is the same as if permutations ran on
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,8 +28,14 @@ MULTIPLIER = 0x2545F4914F6CDD1D
 SWEEPS = 20
 #: Incidences and pairs that a permutation may hold in a worker.
 MAX_INCIDENCES = 20_000_000
-#: Documents times labels up to which who holds what is a table, a byte each.
+#: Bytes up to which who holds what is a table, a bit for each document and label.
 MAX_CELLS = 1 << 28
+#: Pairs of labels up to which all are counted in a table.
+MAX_CODES = 1 << 22
+#: Swaps that are looked at together, at most; below 2^14, as their places are 16-bit.
+RUN = 1 << 12
+#: Slots by which swaps of one document are told; a power of two.
+SLOTS = 1 << 18
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -48,71 +56,92 @@ def _times(columns: list[int], x: int) -> int:
     return out
 
 
+def _product(a: list[int], b: list[int]) -> list[int]:
+    return [_times(a, c) for c in b]
+
+
 def jump(state: int, steps: int) -> int:
     """The state after so many steps."""
     power = [step(1 << i) for i in range(64)]
     while steps:
         if steps & 1:
             state = _times(power, state)
-        power = [_times(power, c) for c in power]
+        power = _product(power, power)
         steps >>= 1
     return state
 
 
-def draws(state: int, count: int, lanes: int = 1024) -> np.ndarray:
+@lru_cache(maxsize=256)
+def _matrix(steps: int) -> list[int]:
+    """The columns of so many steps' matrix."""
+    if not steps:
+        return [1 << i for i in range(64)]
+    half = _matrix(steps // 2)
+    both = _product(half, half)
+    return [step(c) for c in both] if steps & 1 else both
+
+
+def draws(state: int, count: int, lanes: int = 16384) -> np.ndarray:
     """The next ``count`` numbers of the generator from ``state``: many stretches of the stream side by side."""
     length = -(-count // lanes)
-    power, steps = [step(1 << i) for i in range(64)], length
-    far = [1 << i for i in range(64)]  # the matrix of ``length`` steps
-    while steps:
-        if steps & 1:
-            far = [_times(power, c) for c in far]
-        power = [_times(power, c) for c in power]
-        steps >>= 1
-    starts = [state]
-    for _ in range(lanes - 1):
-        starts.append(_times(far, starts[-1]))
-    x = np.array(starts, dtype=np.uint64)
+    x = np.array([state], np.uint64)
+    while len(x) < lanes:  # twice as many starts, the new ones as many stretches on
+        bits = ((x >> np.uint64(i)) & np.uint64(1) for i in range(64))
+        x = np.concatenate([x, np.bitwise_xor.reduce([b * np.uint64(c) for b, c in zip(bits, _matrix(length * len(x)), strict=True)])])
+    x = x[:lanes]
     out = np.empty((length, lanes), np.uint64)
-    for i in range(length):
-        x ^= x >> np.uint64(12)
-        x ^= x << np.uint64(25)
-        x ^= x >> np.uint64(27)
-        out[i] = x * np.uint64(MULTIPLIER)
+    moved = np.empty_like(x)
+    for row in out:
+        x ^= np.right_shift(x, np.uint64(12), out=moved)
+        x ^= np.left_shift(x, np.uint64(25), out=moved)
+        x ^= np.right_shift(x, np.uint64(27), out=moved)
+        np.multiply(x, np.uint64(MULTIPLIER), out=row)
     return out.T.ravel()[:count]
 
 
-def _holds(doc: np.ndarray, label: np.ndarray, lab: np.ndarray):
-    """A test whether documents hold labels, and how to tell it of a swap; ``lab`` is changed in place by the caller.
+class _Table:
+    """Who holds what, a bit for each document and label. A cell is document << shift | label."""
 
-    A table of all documents and labels where that is small, else the labels of a document one after the other.
-    """
-    docs, labels = int(doc[-1]) + 1, int(label.max()) + 1
-    if docs * labels <= MAX_CELLS:
-        cells = np.zeros(docs * labels, bool)
-        cells[doc * labels + label] = True
+    def __init__(self, cells: np.ndarray, docs: int, shift: int):
+        self.bits = np.zeros(max(1, docs << shift >> 3), np.uint8)
+        for begin in range(0, len(cells), 1 << 20):
+            some = cells[begin : begin + (1 << 20)]
+            np.bitwise_or.at(self.bits, some >> 3, self.bit(some))
+
+    @staticmethod
+    def bit(cells: np.ndarray) -> np.ndarray:
+        return np.left_shift(np.uint8(1), (cells & 7).astype(np.uint8))
+
+    def holds(self, cells: np.ndarray) -> np.ndarray:
+        return (self.bits.take(cells >> 3, mode="clip") & self.bit(cells)) != 0
+
+    def swap(self, old: np.ndarray, new: np.ndarray) -> None:
+        """No document twice."""
+        for cells in (old, new):
+            at = cells >> 3
+            self.bits.put(at, self.bits.take(at, mode="clip") ^ self.bit(cells))
 
-        def holds(d, x):
-            return cells.take(d * labels + x)
 
-        def swap(d, x, y):
-            cells[d * labels + x] = False
-            cells[d * labels + y] = True
+class _Lists:
+    """The same, by looking at the labels of a document one after the other, as they stand in ``cells``."""
 
-        return holds, swap
-    begin = np.searchsorted(doc, np.arange(docs + 1))
+    def __init__(self, cells: np.ndarray, docs: int, shift: int):
+        self.cells, self.shift = cells, shift
+        self.begin = np.searchsorted(cells >> shift, np.arange(docs + 1))
 
-    def holds(d, x):
-        out = np.zeros(len(d), bool)
-        at, end, rest = begin[d], begin[d + 1], np.arange(len(d))
+    def holds(self, cells: np.ndarray) -> np.ndarray:
+        own = cells >> self.shift
+        out = np.zeros(len(cells), bool)
+        at, end, rest = self.begin[own], self.begin[own + 1], np.arange(len(cells))
         while len(rest):
             open_ = at < end
             rest, at, end = rest[open_], at[open_], end[open_]
-            out[rest] |= lab[at] == x[rest]
+            out[rest] |= self.cells[at] == cells[rest]
             at = at + 1
         return out
 
-    return holds, lambda d, x, y: None
+    def swap(self, old: np.ndarray, new: np.ndarray) -> None:
+        pass
 
 
 def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
@@ -123,65 +152,73 @@ def shuffled(doc: np.ndarray, label: np.ndarray, state: int) -> np.ndarray:
     their documents are done at once, and those left go before the next run: the outcome is that of one by one.
     """
     m = len(doc)
-    lab = label.copy()
     if not m:
-        return lab
-    docs = int(doc[-1]) + 1
-    holds, swap = _holds(doc, label, lab)
-    # Few swaps of a run then touch a document that an earlier one touches, the one of most labels included.
-    run = max(1, min(docs // 8, m // int(np.bincount(doc).max())))
-    first = np.empty(docs, np.int64)
-
-    def done(i, j, d, e):
-        """Do the swaps that wait for none before them; the others, in their order."""
-        order = np.arange(len(i))
+        return label.copy()
+    docs, shift = int(doc[-1]) + 1, max(3, int(label.max()).bit_length())
+    cells = np.left_shift(doc, shift, dtype=np.int32 if docs << shift < 1 << 31 else np.int64)
+    cells |= label.astype(cells.dtype)
+    held = (_Table if docs << shift >> 3 <= MAX_CELLS else _Lists)(cells, docs, shift)
+    low = (1 << shift) - 1
+    # Few swaps of a run then touch a document that an earlier one touches, the one of most labels included; and a run's
+    # arrays stay near the core. Documents that share a slot are taken for one, so the later swap only waits.
+    run = max(1, min(docs // 8, m // int(np.bincount(doc).max()), RUN))
+    first = np.empty(SLOTS, np.int16)
+    orders = np.repeat(np.arange(2 * run, dtype=np.int16), 2)
+
+    def done(at):
+        """Do the swaps that wait for none before them; the others, in their order. ``at`` holds the two incidences of
+        one swap after the other."""
+        order = orders[: len(at)]
+        old = cells.take(at, mode="clip")
+        slot = (old >> shift & SLOTS - 1).astype(np.int64)
         # Told from the last to the first, the first that touches a document is what stays.
-        touched = np.empty(2 * len(i), np.int64)
-        touched[::2], touched[1::2] = e[::-1], d[::-1]
-        first[touched] = np.repeat(order[::-1], 2)
-        ready = (first.take(d) == order) & (first.take(e) == order)
-        p, q, g, h = (c.take(np.flatnonzero(ready)) for c in (i, j, d, e))
-        x, y = lab.take(p), lab.take(q)
-        free = np.flatnonzero((x != y) & ~holds(g, y) & ~holds(h, x))
-        p, q, g, h, x, y = (c.take(free) for c in (p, q, g, h, x, y))
-        swap(g, x, y)
-        swap(h, y, x)
-        lab[p], lab[q] = y, x
-        wait = np.flatnonzero(~ready)
-        return tuple(c.take(wait) for c in (i, j, d, e))
-
-    left, at, rest = SWEEPS * m, state, (np.empty(0, np.int64),) * 4
+        first[slot[::-1]] = order[::-1]
+        mine = first.take(slot, mode="clip") == order
+        ready = mine[::2] & mine[1::2]
+        # Each document's cell with the other's label: its own bits, but where the two labels differ.
+        change = (old[::2] ^ old[1::2]) & low
+        new = old ^ np.repeat(change, 2)
+        # Of a swap within a document, or of one label, each document holds what it would get.
+        has = held.holds(new)
+        go = np.flatnonzero(ready & ~(has[::2] | has[1::2]))
+        to, old, new = (c.reshape(-1, 2).take(go, axis=0, mode="clip").ravel() for c in (at, old, new))
+        held.swap(old, new)
+        cells.put(to, new)
+        return at.reshape(-1, 2).take(np.flatnonzero(~ready), axis=0).ravel()
+
+    left, now, rest = SWEEPS * m, state, np.empty(0, np.int64)
     while left:
-        n = min(left, 1_000_000)
-        both = (draws(at, 2 * n) % np.uint64(m)).astype(np.int64).reshape(n, 2)
-        for begin in range(0, n, run):
-            i, j = both[begin : begin + run].T
-            d, e = doc.take(i), doc.take(j)
-            apart = np.flatnonzero(d != e)  # a swap within a document changes nothing
-            rest = done(*(np.concatenate([x, y.take(apart)]) for x, y in zip(rest, (i, j, d, e), strict=True)))
-            while len(rest[0]) > run:
-                rest = done(*rest)
+        n = min(left, 1 << 20)
+        drawn = draws(now, 2 * n)
+        drawn -= drawn // np.uint64(m) * np.uint64(m)
+        drawn = drawn.view(np.int64)
+        for begin in range(0, 2 * n, 2 * run):
+            rest = done(np.concatenate((rest, drawn[begin : begin + 2 * run])))
+            while len(rest) > 2 * run:
+                rest = done(rest)
         left -= n
         if left:
-            at = jump(at, 2 * n)
-    while len(rest[0]):
-        rest = done(*rest)
-    return lab
+            now = _times(_matrix(2 * n), now)
+    while len(rest):
+        rest = done(rest)
+    return (cells & low).astype(label.dtype)
 
 
 def counted(doc: np.ndarray, label: np.ndarray, labels: int, wanted: np.ndarray) -> np.ndarray:
     """How many documents have each wanted pair, as sorted codes smaller * labels + larger; ``doc`` is sorted."""
-    order = np.lexsort((label, doc))
-    doc, label = doc[order], label[order]
     count = np.zeros(len(wanted), np.int64)
     shift = 1
     while len(wanted) and shift < len(doc):
-        same = doc[shift:] == doc[:-shift]
-        if not same.any():
+        same = np.flatnonzero(doc[shift:] == doc[:-shift])
+        if not len(same):
             break
-        code = label[:-shift][same] * labels + label[shift:][same]
-        at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-        count += np.bincount(at[wanted[at] == code], minlength=len(wanted))
+        x, y = label.take(same).astype(np.int64), label.take(same + shift).astype(np.int64)
+        code = np.minimum(x, y) * labels + np.maximum(x, y)
+        if labels * labels <= MAX_CODES:
+            count += np.bincount(code, minlength=labels * labels)[wanted]
+        else:
+            at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+            count += np.bincount(at[wanted[at] == code], minlength=len(wanted))
         shift += 1
     return count
 

@@ -288,3 +288,18 @@ def test_registered_evaluations_fetch_no_sets_of_labels(spark, monkeypatch, name
     doc, label = permutation.incidences(*permutation.read_sets(permutation.label_sets(r.test.documents, ids)))
     got = [tuple(label[doc == i].tolist()) for i in range(len(sets))]
     assert got == sorted(tuple("ABCDEFGH".index(x) for x in s) for s in sets)
+
+
+def test_swaps_that_share_a_slot_wait_and_pairs_are_counted_in_either_way(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [sorted(rng.choice(30, rng.integers(1, 6), replace=False).tolist()) for _ in range(300)]
+    doc, label = np.repeat(np.arange(300), [len(d) for d in docs]), np.concatenate(docs)
+    swapped = plain_shuffle(docs, NULL_SEED)
+    monkeypatch.setattr(permutation, "SLOTS", 8)
+    out = shuffled(doc, label, NULL_SEED)
+    assert out.tolist() == [x for d in swapped for x in d]
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30) if (a + b) % 3]
+    want = [sum(a in d and b in d for d in swapped) for a, b in pairs]
+    for codes in (permutation.MAX_CODES, 0):
+        monkeypatch.setattr(permutation, "MAX_CODES", codes)
+        assert counted(doc, out, 30, np.array([a * 30 + b for a, b in pairs])).tolist() == want
