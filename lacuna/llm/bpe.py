@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lacuna.llm.common import fresh_path
+from lacuna.llm.common import fresh_path, spread
 
 #: Bytes of text in a block; a block's distinct words fit in a worker's memory.
 BLOCK_BYTES = 20 << 20
@@ -74,18 +74,10 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _made["table", path]
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indices start[i], start[i] + 1, ... of each i, so many as size[i]."""
-    total = int(size.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
-
-
 def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
     """The bytes of ids, by the token-byte table."""
     data, start, size = table
-    return data[_spread(start[ids], size[ids])].tobytes()
+    return data[spread(start[ids], size[ids])].tobytes()
 
 
 class _Out:
@@ -254,7 +246,7 @@ def _together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(size) - size
     # Chunks hold words by bucket, then class; numbers go by class, then bucket.
     begin = (np.cumsum(classes.T.ravel()) - classes.T.ravel()).reshape(classes.T.shape).T
-    number = _spread(begin.ravel(), classes.ravel())
+    number = spread(begin.ravel(), classes.ravel())
     start, count = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
     start[number], count[number] = first, size
     return flat, start, count
@@ -279,7 +271,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def documents(keys, packed, words, table):
         flat, start, size = words
         lengths, at, checks = packed.numbers().astype(np.int64), packed.numbers(), packed.numbers()
-        ids = flat[_spread(start[at], size[at])]
+        ids = flat[spread(start[at], size[at])]
         # Where documents end among the words, then among the ids, then among the bytes.
         ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(lengths)])]
         cuts = np.concatenate([[0], np.cumsum(table[2][ids])])[ends]

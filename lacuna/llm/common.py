@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,14 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[i], start[i] + 1, ... of each i, so many as size[i]."""
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None, alike: bool = False) -> DataFrame:
     """``rows`` with the columns of ``keyed``, a written table of one row per key and ``count``, how many rows have it.
 

@@ -8,7 +8,9 @@ and row groups by Bloom filters. ``read_stripes`` is for passes over all rows: i
 whatever files they stand in.
 
 A tokenizer of words is context-free between white space, so every distinct word of a worker's documents is encoded
-once and remembered, within a bound of memory. The ids are those that the whole text would get. Strings of special
+once and remembered, within a bound of memory; Latin letters and the punctuation behind them are two words. Words are
+made distinct in Arrow's dictionaries, a few MB of text at a time, so that what is done in Python is done once for each
+distinct word. The ids are those that the whole text would get. Strings of special
 tokens in a text become those tokens, as the library does by default; with ``specials`` false they are ordinary text.
 
 Defined results: a null or empty text has only the end id; rows with a null id come first; rows with equal ids
@@ -18,19 +20,21 @@ keep the order of the input; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import gc
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyarrow.orc import ORCFile
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import open_fs
+from lacuna.llm.common import open_fs, spread
 
 #: Words remembered with their ids in a worker, at most.
 MEMO = 1_200_000
@@ -40,7 +44,7 @@ TASK_BYTES = 64 << 20
 STRIDE = 1_000
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
 # Latin letters below U+0250 (but U+0130, whose lower case has a combining mark), then ASCII punctuation without the apostrophe: pre-tokens that do not depend on each other.
-_SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+)?\Z")
+_SPLIT = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,14 +54,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(others)) for b in range(256)}
 
 
-#: The same punctuation, for words that are else letters of ASCII.
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-
-
-#: Stands after each text; no text in UTF-8 has this byte. Its ids are one -1.
-_END, _MARK = b"\xff", np.array([-1], dtype=np.int32).tobytes()
 #: Bytes of text that are looked up together.
-PART = 1 << 20
+PART = 6 << 20
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -74,99 +72,118 @@ class WordEncoder:
         self.bare = Tokenizer(self.tok.model)  # for words that are one pre-token, in the letters of the vocabulary
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters() | {32: " "}
-        self.memo: dict[bytes, bytes] = {_END: _MARK}
+        self._forget()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _plain(self, words: list[bytes]) -> list[bytes]:
-        """Ids of strings of lower-case letters alone, each of which is one pre-token and so has one token that ends a word."""
-        text = b" ".join(words)
-        text = text.decode() if text.isascii() else text.decode("latin-1").translate(self.letters)
+    def _forget(self) -> None:
+        """Remember the empty word alone: each word's number, where its ids begin in ``ids``, and how many there are."""
+        self.memo: dict[bytes, int] = {b"": 0}
+        self.ids, self.first, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters alone, each of which is one pre-token and so has one token that ends a word."""
+        text = b" ".join(words).decode().lower()  # upper case is left beyond ASCII, and in texts with combining marks
+        text = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
-        cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        if len(cuts) != len(words):
-            return self._any([w.decode() for w in words])
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def _any(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember the ids of each distinct word."""
-        memo, parts, rest = self.memo, [], []
-        wanted = {w for w in words if w.isalpha()}  # letters of ASCII
-        others = set()
-        for w in words - wanted:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                parts.append((w, core, w[len(core) :]))
-                if core not in memo:
-                    wanted.add(core)
-            elif m := _SPLIT.match(s := w.decode("utf-8", "surrogatepass")):
-                core = m[1].lower().encode()
-                parts.append((w, core, (m[2] or "").encode()))
-                if core not in memo:
-                    others.add(core)
+        ends = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self._any(words)
+
+    def _any(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self, words: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
+        """Remember the ids of each of these distinct words."""
+        if not words:
+            return
+        ids, size = encode(words)
+        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _numbers(self, words: pa.Array, letters: bool = False) -> np.ndarray:
+        """The numbers of distinct words, of which new ones are learned; ``letters``: each is Latin letters alone."""
+        keys = words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.memo.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = [keys[i] for i in missing]
+            if letters:
+                self._learn([w for w in new if w.isascii()], self._plain)
+                self._learn([w for w in new if not w.isascii()], self._plain)
             else:
-                rest.append((w, s))
-        for some in (wanted, others):
-            if some:
-                core = sorted(some)
-                # Upper case is left only in texts with combining marks.
-                memo.update(zip(core, self._plain([w.lower() for w in core]), strict=True))
-        tail = list({t for _, _, t in parts if t not in memo and t})
-        memo.update(zip(tail, self._any([t.decode() for t in tail]), strict=True))
-        for w, core, t in parts:
-            memo[w] = memo[core] + memo[t] if t else memo[core]
-        memo.update(zip((w for w, _ in rest), self._any([s for _, s in rest]), strict=True))
-
-    def _part(self, raw: bytes) -> np.ndarray:
-        """Ids of normal text; ``_END`` gives -1."""
-        words = raw.split()
+                self._learn(new, self._any)
+            found[missing] = [self.memo[w] for w in new]
+        return found
+
+    def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normal texts one after the other, and their numbers."""
         if len(self.memo) > MEMO:
-            self.memo = {_END: _MARK}
-        found = list(map(self.memo.get, words))
-        missing = [i for i, v in enumerate(found) if v is None]
-        if missing:
-            self._learn({words[i] for i in missing})
-            memo = self.memo
-            for i in missing:
-                found[i] = memo[words[i]]
-        return np.frombuffer(b"".join(found), dtype=np.int32)
+            self._forget()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        found = split.values.dictionary_encode()
+        words = found.dictionary
+        halves = pc.extract_regex(words, _SPLIT)
+        core, tail = halves.flatten()
+        whole = core.is_null()
+        rest = whole.to_numpy(zero_copy_only=False)
+        # Each distinct word is two, of which the latter may be empty.
+        two = np.zeros((len(words), 2), np.int64)
+        two[rest, 0] = self._numbers(words.filter(whole))
+        for i, (half, letters) in enumerate([(core, True), (tail, False)]):
+            some = half.drop_null().dictionary_encode()
+            two[~rest, i] = self._numbers(some.dictionary, letters)[some.indices.to_numpy()]
+        size = self.size[two]
+        ids = self.ids[spread(self.first[two].ravel(), size.ravel())]
+        size = size.sum(axis=1)
+        at = found.indices.to_numpy()
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy()]
+        return ids[spread((np.cumsum(size) - size)[at], each)], np.diff(ends)
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8) one after the other, each with ``end_id`` behind it if given, and their numbers."""
-        ids = np.concatenate([np.zeros(0, np.int32), *map(self._part, _parts(texts, [b"\xcc", b"\xcd", *self.marks]))])
-        ends = np.flatnonzero(ids == -1)
-        sizes = np.diff(ends, prepend=-1)
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for number, pieces in _parts(texts, [b"\xcc", b"\xcd", *self.marks]):
+            some, n = self._part(pieces)
+            ids.append(some)
+            np.add.at(sizes, number, n)
+        flat = np.concatenate(ids)
         if end_id is None:
-            return np.delete(ids, ends), sizes - 1
-        ids[ends] = end_id
-        return ids, sizes
+            return flat, sizes
+        sizes += 1
+        ends = np.cumsum(sizes) - 1
+        out = np.full(len(flat) + len(texts), end_id, np.int32)
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner] = flat
+        return out, sizes
 
 
-def _parts(texts: list[bytes | None], cased: list[bytes]) -> Iterator[bytes]:
-    """Texts with ``_END`` behind each, joined up to ``PART`` bytes; longer ones cut at white space.
+def _parts(texts: list[bytes | None], cased: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts and their numbers, together up to ``PART`` bytes; longer ones cut at white space.
 
     Letter case of ASCII goes first, but where one of ``cased`` stands: a combining mark, which could compose with a
     letter, or the beginning of a special token.
     """
-    held, n = [], 0
-    for t in texts:
+    number, held, n = [], [], 0
+    for i, t in enumerate(texts):
         raw = t or b""
         raw = raw if any(c in raw for c in cased) else raw.lower()
         while len(raw) > PART and (m := _SPACE.search(raw, PART)):
-            yield b" ".join([*held, raw[: m.start()]])
-            held, n, raw = [], 0, raw[m.start() :]
-        held += [raw, _END]
+            yield [*number, i], [*held, raw[: m.start()]]
+            number, held, n, raw = [], [], 0, raw[m.start() :]
+        number.append(i)
+        held.append(raw)
         n += len(raw)
         if n >= PART:
-            yield b" ".join(held)
-            held, n = [], 0
+            yield number, held
+            number, held, n = [], [], 0
     if held:
-        yield b" ".join(held)
+        yield number, held
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}

@@ -168,6 +168,25 @@ def test_word_encoder_equals_the_tokenizer():
     assert (again == ids).all() and (m == n).all()
 
 
+def test_words_are_looked_up_once_in_a_part():
+    """However often a word occurs, and whatever punctuation stands behind it."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+    enc = orc_tokens.WordEncoder(Q.tokenizer_path("word_bpe_49k.json"))
+    enc.memo = Asked(enc.memo)
+    text = "straße, Abc. abc, abc 12 " * 2_000
+    ids, n = enc.encode([text.encode(), b"abc!"], 1)
+    assert [x.tolist() for x in np.split(ids, n[:1])] == [[*x, 1] for x in plain_ids([text, "abc!"])]
+    assert Asked.n < 20
+    assert set(enc.memo) - {b""} == {"straße".encode(), b"abc", b"12", b",", b".", b"!"}
+
+
 def test_orc_round_trip(spark, tmp_path):
     d = clashing(docs(spark, [*EDGES, *ODD])).repartition(3)
     path = (tmp_path / "tokens").as_uri()
