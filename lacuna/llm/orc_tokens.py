@@ -1,7 +1,7 @@
 """Token ids in ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
 ``write_tokens`` encodes whole texts and writes them in ascending order of id: texts are dealt by ranges of the id
-and sorted, encoded, and written by Spark's ORC writer, whose committer leaves only whole files of finished tasks.
+and sorted, encoded, and written by the same tasks; only whole files of tasks that succeeded are left.
 Each row holds its place within its file (``local_start``); where a file begins follows from the totals of the
 files before it. ``read_tokens`` is for queries: a filter on ``doc_id`` prunes files and stripes by their statistics
 and row groups by Bloom filters. ``read_stripes`` is for passes over all rows: its tasks take equal shares of the stripes,
@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import itertools
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyarrow.orc import ORCFile
+from pyarrow.orc import ORCFile, ORCWriter
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,11 @@ from lacuna.llm.common import open_fs, spread
 MEMO = 1_200_000
 #: Bytes of files that a task reads back, about.
 TASK_BYTES = 64 << 20
+#: Files of tasks that haven't ended, within the path; readers pass names over that begin so.
+_UNFINISHED = "_unfinished"
 #: Rows of a row group; Bloom filters and row indexes are kept per row group.
 STRIDE = 1_000
-ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
+ORC_OPTIONS = {"compression": "zstd", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
 # Latin letters below U+0250 (but U+0130, whose lower case has a combining mark), then ASCII punctuation without the apostrophe: pre-tokens that do not depend on each other.
 _SPLIT = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"
 
@@ -195,34 +198,71 @@ def _encoder(path: str, specials: bool) -> WordEncoder:
     return _encoders[path, specials]
 
 
+_NAMES = ["doc_id", "part", "local_start", "n_tokens", "ids"]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, specials: bool) -> Iterator[pa.RecordBatch]:
+    """What ``encode`` gives of a task's rows."""
+    enc, part, at = _encoder(tokenizer, specials), TaskContext.get().partitionId(), 0
+    gc.disable()  # nothing here makes cycles, and there are millions of small objects to look through
+    try:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                b = whole.slice(i, 2048)
+                ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
+                start = at + np.cumsum(n) - n
+                at += int(n.sum())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], _NAMES)
+    finally:
+        gc.enable()
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, specials: bool = True) -> DataFrame:
     """(doc_id, part, local_start, n_tokens, ids) of whole texts; ``local_start`` counts within the partition ``part``."""
-    names = ["doc_id", "part", "local_start", "n_tokens", "ids"]
 
     def run(batches):
-        enc, part, at = _encoder(tokenizer, specials), TaskContext.get().partitionId(), 0
-        gc.disable()  # nothing here makes cycles, and there are millions of small objects to look through
-        try:
-            for whole in batches:
-                for i in range(0, whole.num_rows, 2048):
-                    b = whole.slice(i, 2048)
-                    ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
-                    start = at + np.cumsum(n) - n
-                    at += int(n.sum())
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(start), pa.array(n), lists], names)
-        finally:
-            gc.enable()
+        return _encoded(batches, tokenizer, end_id, specials)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n_tokens bigint, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, specials: bool = True) -> None:
-    """Write the ids of all documents to ``path`` as ORC, in ascending order of id."""
+    """Write the ids of all documents to ``path`` as ORC, in ascending order of id.
+
+    Each task writes a file where it encodes, so no ids go through the JVM; the driver then moves the files of the tasks
+    that succeeded into place.
+    """
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_n"))
-    ordered = dealt.repartitionByRange("doc_id", "_n").sortWithinPartitions("doc_id", "_n")
-    encode(ordered, tokenizer, "doc_id", "text", end_id, specials).write.options(**ORC_OPTIONS).orc(path)
+    ordered = dealt.repartitionByRange("doc_id", "_n").sortWithinPartitions("doc_id", "_n").select("doc_id", "text")
+    options = {
+        "compression": ORC_OPTIONS["compression"],
+        "stripe_size": int(ORC_OPTIONS["orc.stripe.size"]),
+        "row_index_stride": int(ORC_OPTIONS["orc.row.index.stride"]),
+        "bloom_filter_columns": [1 + _NAMES.index(c) for c in ORC_OPTIONS["orc.bloom.filter.columns"].split(",")],  # 0 is the row itself
+        "bloom_filter_fpp": float(ORC_OPTIONS["orc.bloom.filter.fpp"]),
+    }
+    fs, base = open_fs(path)
+    if fs.get_file_info(base).type != pafs.FileType.NotFound:
+        raise FileExistsError(path)
+    fs.create_dir(f"{base}/{_UNFINISHED}", recursive=True)
+
+    def write(batches):
+        fs, base = open_fs(path)
+        encoded = _encoded(batches, tokenizer, end_id, specials)
+        first = next(encoded, None)
+        if first is None:
+            return
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.orc"
+        with fs.open_output_stream(f"{base}/{_UNFINISHED}/{name}", compression=None) as f, ORCWriter(f, **options) as out:
+            for b in itertools.chain([first], encoded):
+                out.write(pa.Table.from_batches([b]))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    for (name,) in ordered.mapInArrow(write, "name string").collect():
+        fs.move(f"{base}/{_UNFINISHED}/{name}", f"{base}/{name}")
+    fs.delete_dir(f"{base}/{_UNFINISHED}")
 
 
 def _before(spark: SparkSession, path: str) -> DataFrame:
@@ -249,7 +289,7 @@ def read_stripes(spark: SparkSession, path: str, each: Callable[[pa.RecordBatch]
     fs, base = open_fs(path)
     files = sorted((i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".orc"))
     names = [name for name, _ in files]
-    tasks = max(1, len(files), sum(size for _, size in files) // TASK_BYTES)
+    tasks = max(spark.sparkContext.defaultParallelism, sum(size for _, size in files) // TASK_BYTES)
 
     def count(batches):
         fs, base = open_fs(path)

@@ -10,6 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyarrow.orc import ORCFile
+from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, decontam, html_text, orc_tokens, pii, quality
 from lacuna.llm import queries as Q
@@ -201,6 +203,28 @@ def test_orc_round_trip(spark, tmp_path):
     assert orc_tokens.read_tokens(spark, path).where("doc_id = 3").first()["ids"] == want[3]
 
 
+def test_orc_files_are_written_by_the_tasks_that_encode(spark, tmp_path):
+    """Rows with ids never go through a JVM writer, and failed tasks leave no files among the whole ones."""
+    path = tmp_path / "tokens"
+    d = docs(spark, ["a b"] * 5_000).repartition(4)
+    orc_tokens.write_tokens(d, path.as_uri(), Q.tokenizer_path("word_bpe_49k.json"))
+    files = list(path.iterdir())
+    assert files and all(f.suffix == ".orc" for f in files)  # no checksums or marks of Hadoop's
+    assert all(ORCFile(f).compression == "ZSTD" and ORCFile(f).row_index_stride == 1_000 for f in files)
+    jvm = spark._jvm.org.apache.orc.OrcFile
+    reader = jvm.createReader(spark._jvm.org.apache.hadoop.fs.Path(files[0].as_uri()), jvm.readerOptions(spark._jsc.hadoopConfiguration()))
+    streams = reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()
+    assert {s.getColumn() for s in streams if str(s.getKind()) == "BLOOM_FILTER_UTF8"} == {1}
+    got = orc_tokens.read_tokens(spark, path.as_uri()).where("doc_id = 4321")
+    assert [r["start"] for r in got.collect()] == [4321 * 3]
+    with pytest.raises(FileExistsError):
+        orc_tokens.write_tokens(d, path.as_uri(), Q.tokenizer_path("word_bpe_49k.json"))
+    broken = docs(spark, ["a b"]).withColumn("text", F.expr("raise_error('x')"))
+    with pytest.raises(Exception, match="x"):
+        orc_tokens.write_tokens(broken, (tmp_path / "broken").as_uri(), Q.tokenizer_path("word_bpe_49k.json"))
+    assert orc_tokens.checksums(spark, (tmp_path / "broken").as_uri()).count() == 0
+
+
 def test_orc_repeated_null_and_no_rows(spark, tmp_path):
     d = docs(spark, ["a", "b b"]).union(docs(spark, ["a", "b b"])).union(spark.createDataFrame([(None, "x", None, None, None)], DOCS))
     path = (tmp_path / "tokens").as_uri()
