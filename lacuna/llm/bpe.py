@@ -6,9 +6,10 @@
 2. The blocks' distinct words are dealt into buckets by hash, so that each distinct word of the whole corpus meets in
    one task, is encoded there once, and its ids go back to the blocks that asked. Words travel in packed chunks per
    block and bucket; a chunk does not depend on how often a word occurs, so frequent words are no hot keys.
-3. Per block, ids are put back at the positions of the documents. Decoding joins the ids with the token-byte table,
-   a fixed table of the vocabulary. A checksum of its text goes with each document, and one that does not decode to
-   its text fails the job.
+3. Per block, ids are put back at the positions of the documents, which the task that cut them has left in a file of
+   the shared folder: only words and their ids are shuffled, and positions never pass through the JVM. Decoding joins
+   the ids with the token-byte table, a fixed table of the vocabulary. A checksum of its text goes with each document,
+   and one that does not decode to its text fails the job.
 
 Words are numbered by how often they occur in the block (in powers of two), then by bucket, then by their bytes. So
 frequent words have small numbers, which pack well, and a chunk need not carry the numbers of its words.
@@ -19,20 +20,18 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import atexit
 import base64
-import contextlib
 import itertools
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lacuna.llm.common import fresh_path, spread
+from lacuna.llm.common import fresh_path, open_fs, spread
 
 #: Bytes of text in a block; a block's distinct words fit in a worker's memory.
 BLOCK_BYTES = 20 << 20
@@ -143,7 +142,7 @@ class _Block:
         self.bytes += len(raw)
 
     def packed(self, buckets: int):
-        """Rows (kind, bucket, seq, ids, data): the documents (kind 1), and the words of each bucket (kind 0)."""
+        """Rows (kind, bucket, ids, data): the documents in their order, then the words of each bucket, one chunk at least."""
         words = [w.encode("utf-8", "surrogatepass") for w in self.number]
         self.number = {}
         count = np.bincount(np.concatenate(self.docs), minlength=len(words)) if words else np.zeros(0, np.int64)
@@ -160,32 +159,40 @@ class _Block:
                 some = self.docs[first : i + 1]
                 checks = np.array(self.checks[first : i + 1], dtype=np.uint32)
                 data = _Out().numbers(np.array([len(x) for x in some])).numbers(renumbered[np.concatenate(some)]).numbers(checks).pack()
-                yield 1, 0, first, self.ids[first : i + 1], data
+                yield "docs", 0, self.ids[first : i + 1], data
                 first, n = i + 1, 0
         mine = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then class, then bytes
         cuts = np.searchsorted(bucket[mine], np.arange(buckets + 1))
         for k in range(buckets):
-            if cuts[k] < cuts[k + 1]:
+            if cuts[k] < cuts[k + 1] or not words and k == 0:
                 some = mine[cuts[k] : cuts[k + 1]]
                 text = [words[i] for i in some]
-                yield 0, k, 0, None, _Out().numbers(np.bincount(rare[some], minlength=CLASSES)).numbers(np.fromiter(map(len, text), np.uint32, len(text))).raw(b"".join(text)).pack()
+                yield "words", k, None, _Out().numbers(np.bincount(rare[some], minlength=CLASSES)).numbers(np.fromiter(map(len, text), np.uint32, len(text))).raw(b"".join(text)).pack()
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
-    """Rows (block, kind, bucket, seq, ids, data) of all blocks."""
-    names = ["block", "kind", "bucket", "seq", "ids", "data"]
+def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int, buckets: int, path: str) -> list[str]:
+    """Write the pieces of all blocks to ``path`` and name the blocks of the tasks that succeeded.
+
+    Tasks write them as Arrow streams, the documents of a block in one file and its words in another.
+    """
     id_type = to_arrow_type(docs.schema[id_col].dataType)
+    schema = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("data", pa.binary())])
+    fs, base = open_fs(path)
+    fs.create_dir(base, recursive=True)
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
+        fs, base = open_fs(path)
 
-        def rows(block):
-            packed = block.packed(buckets)
-            while some := list(itertools.islice(packed, 64)):
-                kind, bucket, seq, ids, data = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([block.key] * len(some)), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seq, pa.int64()), pa.array(ids, pa.list_(id_type)), pa.array(data, pa.binary())], names)
+        def done(block):
+            for kind, rows in itertools.groupby(block.packed(buckets), key=lambda r: r[0]):
+                with fs.open_output_stream(f"{base}/{block.key}.{kind}", compression=None) as f, pa.ipc.new_stream(f, schema) as out:
+                    while some := list(itertools.islice(rows, 1 if kind == "docs" else 64)):
+                        _, bucket, ids, data = zip(*some, strict=True)
+                        out.write_batch(pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ids, schema.field("ids").type), pa.array(data, pa.binary())], schema=schema))
+            return pa.RecordBatch.from_arrays([pa.array([block.key])], ["block"])
 
         block = _Block()
         for b in batches:
@@ -193,20 +200,36 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes:
                 text = text.as_py() or ""
                 block.add(key, find(text), text.encode("utf-8", "surrogatepass"))
                 if block.bytes >= block_bytes:
-                    yield from rows(block)
+                    yield done(block)
                     block = _Block()
         if block.docs:
-            yield from rows(block)
+            yield done(block)
         pa.default_memory_pool().release_unused()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"block string, kind int, bucket int, seq bigint, ids array<{kind}>, data binary")
+    return [block for (block,) in docs.select(id_col, text_col).mapInArrow(run, "block string").collect()]
+
+
+def _stream(fs, path: str):
+    """The batches of an Arrow stream."""
+    with fs.open_input_stream(path, compression=None) as f, pa.ipc.open_stream(f) as batches:
+        yield from batches
+
+
+def _asked(spark: SparkSession, path: str, blocks: list[str], tasks: int) -> DataFrame:
+    """Rows (block, bucket, data): the chunks of words of all blocks."""
+
+    def run(batches):
+        fs, base = open_fs(path)
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                for words in _stream(fs, f"{base}/{blocks[i]}.words"):
+                    yield pa.RecordBatch.from_arrays([pa.array([blocks[i]] * len(words)), words.column("bucket"), words.column("data")], ["block", "bucket", "data"])
+
+    return spark.range(0, len(blocks), 1, max(1, min(len(blocks), tasks))).mapInArrow(run, "block string, bucket int, data binary")
 
 
 def _encode_words(asked: DataFrame, path: str, pattern: str) -> DataFrame:
     """For each chunk of words the chunk of their ids; a task encodes each distinct word of its buckets once."""
-    names = ["block", "kind", "bucket", "seq", "ids", "data"]
-    list_type = to_arrow_type(asked.schema["ids"].dataType)
 
     def run(batches):
         one = _encoding(path, pattern)._encode_single_piece
@@ -228,11 +251,9 @@ def _encode_words(asked: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids.append(known[w])
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
                 out.append(_Out().numbers(classes).numbers(np.fromiter(map(len, ids), np.uint32, len(ids))).numbers(flat).pack())
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(n, np.int32)), b.column(1), pa.array(np.zeros(n, np.int64)), pa.nulls(n, list_type), pa.array(out, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
-    dealt = asked.select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, asked.schema)
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, asked.schema)
 
 
 def _together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,19 +275,23 @@ def _together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(id, ids, decoded) of each row: its token ids, and the bytes that they stand for."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * n))
-    cut = _by_block(_cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", pattern, block_bytes, buckets), n)
-    back = _encode_words(cut.where("kind = 0"), path, pattern)
+    pieces = fresh_path(spark, "pieces")
+    blocks = _cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", pattern, block_bytes, buckets, pieces)
+    back = _encode_words(_asked(spark, pieces, blocks, n), path, pattern)
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     schema = pa.schema([(id_col, id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
-    def reassemble(packs: pa.Table, chunks: pa.Table) -> pa.Table:
-        table = _token_bytes(path)
-        words = _together(chunks.sort_by("bucket").column("data").to_pylist())
-        packs = packs.sort_by("seq")
-        out = [documents(keys.as_py(), _In(data.as_py()), words, table) for keys, data in zip(packs.column("ids"), packs.column("data"), strict=True)]
-        return pa.Table.from_batches(out, schema)
+    def run(batches):
+        fs, base = open_fs(pieces)
+        chunks = ((block, data.as_py()) for b in batches for block, data in zip(b.column(0).to_pylist(), b.column(2), strict=True))
+        for block, some in itertools.groupby(chunks, key=lambda c: c[0]):
+            words, table = _together([data for _, data in some]), _token_bytes(path)
+            for packs in _stream(fs, f"{base}/{block}.docs"):
+                for keys, data in zip(packs.column("ids"), packs.column("data"), strict=True):
+                    yield documents(keys.as_py(), _In(data.as_py()), words, table)
 
     def documents(keys, packed, words, table):
         flat, start, size = words
@@ -285,24 +310,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([pa.array(keys, id_type), lists, texts], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    packs = cut.where("kind = 1").select("block", "seq", "ids", "data")
-    return packs.groupBy("block").cogroup(back.select("block", "bucket", "data").groupBy("block")).applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>, decoded binary")
-
-
-def _by_block(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` written to the shared folder as a table bucketed by block, so that the documents' positions are never
-    shuffled: only words and their ids travel."""
-    path, name = fresh_path(rows.sparkSession, "pieces"), f"lacuna_pieces_{uuid.uuid4().hex}"
-    atexit.register(_drop_table, rows.sparkSession, name)
-    rows.write.bucketBy(n, "block").option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
-    return rows.sparkSession.table(name)
-
-
-def _drop_table(spark, name: str) -> None:
-    """Take a table out of the catalog when the driver ends, if the session still lives."""
-    if spark.sparkContext._jsc is not None:
-        with contextlib.suppress(Exception):  # the gateway may be gone
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return back.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def digest(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -281,6 +281,16 @@ def test_bpe_equals_the_library(spark, block):
     assert bpe.encode(d.limit(0), path, Q.pattern()).count() == 0
 
 
+def test_bpe_pieces_do_not_pass_through_the_jvm(spark, tmp_path, monkeypatch):
+    """Python tasks write them, two files a block, and no table is left in the catalog; a block may have no words."""
+    for i, texts in enumerate([["a b", "b c"] * 20, [None, ""]]):
+        monkeypatch.setattr(bpe, "fresh_path", lambda spark, name, i=i: (tmp_path / f"{name}-{i}").as_uri())
+        rows = bpe.encode(docs(spark, texts).coalesce(1), Q.tokenizer_path("byte_bpe_multi_50k.tiktoken"), Q.pattern())
+        assert sorted(f.suffix for f in (tmp_path / f"pieces-{i}").iterdir()) == [".docs", ".words"]
+        assert {r["doc_id"]: bytes(r["decoded"]) for r in rows.collect()} == {k: (t or "").encode() for k, t in enumerate(texts)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lacuna_")]
+
+
 def test_bpe_query(spark, sf):
     enc = tiktoken_of(Q.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
