@@ -3,11 +3,18 @@
 One permutation is a chain of swaps and can't be split, but permutations can. The generator makes exactly two draws
 per attempted swap, and its step is linear over bits, so the state in which permutation i begins is reached directly,
 by powers of the step's matrix. The stream is the same as if permutations ran one after the other.
+
+A permutation's swaps are done in the JVM, by ``PermutedCounts.java``, a function that is compiled at the first use. The
+same in arrays, ``shuffled`` and ``counted``, is what it is tested against.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -15,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.operators.backtest import Backtest
 from lacuna.params import SCORERS
@@ -289,6 +297,36 @@ def incidences(values: np.ndarray, sizes: np.ndarray, works: np.ndarray) -> tupl
     return np.repeat(np.arange(len(n), dtype=np.int32), n), values[at]
 
 
+def register_permuted_counts(spark: SparkSession) -> str:
+    """The name of the SQL function (path, state) -> counts that ``PermutedCounts.java`` is. The driver compiles it by
+    the compiler that Spark brings for its generated code, and executors get it as a jar."""
+    name = "lacuna_permuted_counts"
+    if not spark.catalog.functionExists(name):
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(resources.files(__package__).joinpath("PermutedCounts.java").read_text())
+        jar = os.path.join(tempfile.mkdtemp(prefix="lacuna-"), "permuted-counts.jar")
+        with zipfile.ZipFile(jar, "w") as f:
+            for kind, code in compiler.getBytecodes().items():
+                f.writestr(kind.replace(".", "/") + ".class", bytes(code))
+        spark.sql(f"ADD JAR '{jar}'")
+        gateway = spark.sparkContext._gateway
+        # By an instance: a registration by name wants type parameters, which that compiler leaves out.
+        kind = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass("lacuna.PermutedCounts")
+        function = kind.getConstructor(gateway.new_array(spark._jvm.java.lang.Class, 0)).newInstance(gateway.new_array(spark._jvm.java.lang.Object, 0))
+        spark._jsparkSession.udf().register(name, function, spark._jsparkSession.parseDataType(T.BinaryType().json()))
+    return name
+
+
+def write_incidences(sets: str, path: str, labels: int, codes: np.ndarray) -> None:
+    """The incidences of ``read_sets`` and the wanted pairs' codes as the file that ``PermutedCounts.java`` reads."""
+    doc, label = incidences(*read_sets(sets))
+    label[np.flatnonzero(np.diff(doc, prepend=-1))] |= np.int32(-(1 << 31))
+    fs, name = open_fs(path)
+    with fs.open_output_stream(name) as f:
+        for part in ([len(label), labels, len(codes)], label, codes // max(labels, 1), codes % max(labels, 1)):
+            f.write(np.asarray(part, "<i4").tobytes())
+
+
 def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive: str, permutations: int) -> list[dict[str, float]]:
     """A row of AUROCs by scorer for each permutation whose labels have both classes."""
     spark = pairs.sparkSession
@@ -308,24 +346,40 @@ def null_aurocs(pairs: DataFrame, scored: DataFrame, result: Backtest, positive:
     table = np.zeros((len(SCORERS), len(order)))
     table[np.asarray(pc.index_in(long["scorer"].combine_chunks(), pa.array(SCORERS))), at[long["place"].to_numpy()]] = long["score"].to_numpy() + 0.0
     sent = spark.sparkContext.broadcast((path, len(ids), codes[order], rows["test_expected"].to_numpy()[order], table))
+    file = fresh_path(spark, "incidences")
+
+    def write(batches):
+        sets, labels, codes = sent.value[:3]
+        for b in batches:
+            write_incidences(sets, file, labels, codes)
+            yield b
 
     def run(batches):
-        path, labels, codes, expected, table = sent.value
-        doc, label = incidences(*read_sets(path))
+        expected, table = sent.value[3:]
         orders = [np.argsort(s, kind="stable") for s in table]
         ranks = [_twice_midranks(s[o]) for s, o in zip(table, orders, strict=True)]
         for pdf in batches:
             out = []
-            for i in pdf["id"]:
-                count = counted(doc, shuffled(doc, label, jump(NULL_SEED, int(i) * 2 * SWEEPS * len(doc))), labels, codes)
+            for i, got in zip(pdf["id"], pdf["counts"], strict=True):
+                count = np.frombuffer(got, "<i4")
                 positives = count > 0 if positive == "co_tagged" else (expected > 0) & (count >= expected)
                 found = [midrank_auroc(o, t, positives) for o, t in zip(orders, ranks, strict=True)]
                 if None not in found:
                     out.append((int(i), *found))
             yield pd.DataFrame(out, columns=["id", *SCORERS])
 
-    tasks = max(1, min(permutations, spark.sparkContext.defaultParallelism))
-    got = spark.range(0, permutations, 1, tasks).mapInPandas(run, "id bigint, " + ", ".join(f"{s} double" for s in SCORERS))
-    rows = got.orderBy("id").collect()  # seven numbers for each permutation
+    one = spark.range(0, 1, 1, 1)
+    one.mapInArrow(write, one.schema).collect()
+    states = [NULL_SEED]
+    for _ in range(permutations - 1):
+        states.append(_times(_matrix(2 * SWEEPS * int(n)), states[-1]))
+    # A task for each permutation: all take about as long. The states are signed in the JVM.
+    begins = spark.sparkContext.parallelize([(i, x - (x >> 63 << 64)) for i, x in enumerate(states)], permutations)
+    dealt = spark.createDataFrame(begins, "id bigint, state bigint")
+    counts = F.expr(f"{register_permuted_counts(spark)}('{file}', state)")
+    got = dealt.select("id", counts.alias("counts")).mapInPandas(run, "id bigint, " + ", ".join(f"{s} double" for s in SCORERS))
+    # Seven numbers for each permutation; Spark would permute twice to sort them, first for the ranges.
+    rows = sorted(got.collect(), key=lambda r: r["id"])
     drop_path(spark, path)
+    drop_path(spark, file)
     return [r.asDict() for r in rows]

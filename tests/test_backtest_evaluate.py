@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacuna.functions.ranks import auroc, auroc_stratified, empirical_p, precision_at
@@ -303,3 +304,48 @@ def test_swaps_that_share_a_slot_wait_and_pairs_are_counted_in_either_way(monkey
     for codes in (permutation.MAX_CODES, 0):
         monkeypatch.setattr(permutation, "MAX_CODES", codes)
         assert counted(doc, out, 30, np.array([a * 30 + b for a, b in pairs])).tolist() == want
+
+
+def test_compiled_permutations_are_those_in_arrays(spark, tmp_path):
+    """The function of the JVM swaps and counts as ``shuffled`` and ``counted`` do, by either way of counting."""
+    rng = np.random.default_rng(7)
+    function = permutation.register_permuted_counts(spark)
+    for labels, works, most in ((1, 1, 1), (30, 300, 6), (30, 40, 30), (256, 400, 12), (257, 400, 12), (3000, 500, 9)):
+        docs = sorted(sorted(rng.choice(labels, rng.integers(1, most + 1), replace=False).tolist()) for _ in range(works))
+        sizes = np.array([len(d) for d in docs], np.int32)
+        doc, label = np.repeat(np.arange(works), sizes), np.concatenate(docs)
+        codes = np.unique([a * labels + b for d in docs for a in d for b in d if a < b] + [labels - 1])
+        sets, path = str(tmp_path / f"sets-{labels}-{most}"), str(tmp_path / f"file-{labels}-{most}")
+        spark.createDataFrame([(d, 1) for d in docs], "labels array<int>, works int").coalesce(1).write.parquet(sets)
+        permutation.write_incidences(sets, path, labels, codes)
+        states = [NULL_SEED, jump(NULL_SEED, 2 * permutation.SWEEPS * len(doc)), jump(NULL_SEED, 12345)]
+        rows = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(states)], "id int, state bigint").selectExpr("id", f"{function}('file:{path}', state) AS counts").collect()
+        for r in rows:
+            assert np.frombuffer(r["counts"], "<i4").tolist() == counted(doc, shuffled(doc, label, states[r["id"]]), labels, codes).tolist()
+
+
+def test_permutations_run_in_the_jvm(spark, monkeypatch):
+    """Of a null, the swaps are the compiled function's, and the rows are those of the chain in arrays."""
+    sets = {2020: ["AB", "AB", "AD", "CB", "CD"], 2022: ["AB", "AC", "CD", "BD", "A"]}
+    r = bt.backtest(frame(spark, [work(1000 * (y - 2019) + i, labels=s[i % 5], year=y) for y, s in sets.items() for i in range(40)]), CONCEPT, 2021, 3)
+    ids = ["C-A", "C-B", "C-C", "C-D"]
+    lists = permutation.label_lists(r.test.documents, pa.array(ids))
+    doc, label = permutation.incidences(*lists)
+    codes = np.array([a * 4 + b for a in range(4) for b in range(a + 1, 4)])
+    pairs = spark.createDataFrame([(k, ids[c // 4], ids[c % 4], float(k + 5)) for k, c in enumerate(codes.tolist())], "place bigint, label_id_a string, label_id_b string, test_expected double")
+    scored = spark.createDataFrame([(k, s, float(k * k % 7)) for k in range(6) for s in permutation.SCORERS], "place bigint, scorer string, score double")
+    want = []
+    for i in range(5):
+        count = counted(doc, shuffled(doc, label, jump(NULL_SEED, i * 2 * permutation.SWEEPS * len(doc))), 4, codes)
+        positives = count >= np.arange(6) + 5.0
+        table = np.array([k * k % 7 for k in range(6)], float)
+        order = np.argsort(table, kind="stable")
+        want.append(permutation.midrank_auroc(order, permutation._twice_midranks(table[order]), positives))
+    monkeypatch.setattr(permutation, "shuffled", None)
+    spark.sparkContext.setJobGroup("null", "")
+    got = permutation.null_aurocs(pairs, scored, r, "above_chance", 5)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("null") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(1 for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks == 5) == 1  # no permutation twice
+    assert [g["jaccard"] for g in got] == [w for w in want if w is not None] and got
